@@ -1,14 +1,15 @@
 """Token ids of whole texts by a public tokenizer file, each distinct stretch between spaces encoded once.
 
 Both vocabularies split a text into pieces before merging, and no piece crosses from a visible character to
-the space after it. So a text may be cut before a space that starts or ends a run of white space without
-changing its ids, and the ids of each stretch can be kept. Runs of three or more white-space characters may
-have such a cut inside; texts that hold one are encoded whole.
+the space after it, nor from a letter or digit to a mark. So a text may be cut before a space that starts or ends a run of
+white space, and before a full stop or comma after a letter, without changing its ids, and the ids of each stretch can
+be kept. Runs of three or more white-space characters may have such a cut inside; texts that hold one are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ import pyarrow.compute as pc
 #: line's end, or a zero.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 _ODD = rf"{_SPACE}{{3}}| \n|\x00|{_SPACE}{{2}}$"
+#: Texts with a full stop or comma before a space that follows no letter or digit.
+_ODD_STOP = r"(?:^|[^\pL\pN])[,.][ \n]"
 #: Stretches that a worker keeps; beyond this it forgets all and goes on, which changes no result.
-KEEP = 1_000_000
+KEEP = 1_500_000
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -47,7 +50,7 @@ class Encoder:
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, self.dtype), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _learn(self, units: list[str]) -> None:
         if len(self.index) + len(units) > self.keep:
@@ -56,23 +59,30 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.index), int(lengths.sum())
-        for u in units:
-            self.index[u] = len(self.index)
+        self.index.update(zip(units, range(first, first + len(units))))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while len(self.index) > len(self.start):
             self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), self.dtype, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), self.dtype, total)
         self.start[first : first + len(units)] = self.used + np.cumsum(lengths) - lengths
         self.length[first : first + len(units)] = lengths
         self.used += total
 
     def _stretches(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """The stretches of all texts one after another, and how many each text has."""
-        if self.drops_space:
-            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        else:  # a stretch that starts a text is marked, as no space stands before it
-            cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
+        """The stretches of all texts one after another, and how many each text has. A full stop or comma after a letter
+        or digit and before a space is a stretch of its own. A zero marks stretches that no space stands before."""
+        mark = "" if self.drops_space else "\0"
+        plain = pc.replace_substring(texts, "\n", " " if self.drops_space else " \n")
+        cut = plain
+        for stop in (", ", ". "):
+            cut = pc.replace_substring(cut, stop, f" {mark}{stop}")
+        odd = pc.match_substring_regex(texts, _ODD_STOP)
+        if pc.any(odd).as_py():
+            cut = pc.if_else(odd, plain, cut)
+        if mark:
+            cut = pc.binary_join_element_wise(pa.scalar(mark, pa.large_string()), cut, pa.scalar("", pa.large_string()))
+        cut = pc.split_pattern(cut, " ")
         return pc.list_flatten(cut), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +97,18 @@ class Encoder:
                 texts = pc.if_else(odd, "", texts)
         units, n_units = self._stretches(texts)
         coded = units.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         slots = list(map(self.index.get, words))
-        if None in slots:
-            self._learn([w for w, s in zip(words, slots) if s is None])
-            slots = list(map(self.index.get, words))
-            if None in slots:  # it had to forget the others
+        missing = [i for i, s in enumerate(slots) if s is None]
+        if missing:
+            known = len(self.index)
+            self._learn([words[i] for i in missing])
+            if len(self.index) == known + len(missing):
+                for i, k in zip(missing, range(known, len(self.index))):
+                    slots[i] = k
+            else:  # it had to forget the others
                 keep, self.keep = self.keep, 1 << 62
-                self._learn([w for w, s in zip(words, slots) if s is None])
+                self._learn([w for w in words if w not in self.index])
                 self.keep = keep
                 slots = list(map(self.index.__getitem__, words))
         slot = np.array(slots, np.int64)
@@ -102,7 +116,10 @@ class Encoder:
         lengths = self.length[slot][at]
         total = np.cumsum(lengths)
         n = int(total[-1]) if len(total) else 0
-        ids = self.flat[np.repeat(self.start[slot][at] - (total - lengths), lengths) + np.arange(n)]
+        shift = self.start[slot][at] - (total - lengths)
+        if self.used + n < 1 << 31:
+            shift = shift.astype(np.int32)
+        ids = self.flat[np.repeat(shift, lengths) + np.arange(n, dtype=shift.dtype)]
         bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(n_units)])]
         if whole:
             parts = [np.array(whole[k], self.dtype) if k in whole else ids[bounds[k] : bounds[k + 1]] for k in range(n_texts)]
