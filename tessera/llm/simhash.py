@@ -12,24 +12,37 @@ leaves out. What meets at a point is within two bits of one another, at most 65
 Only distinct fingerprints take part, so copies cost nothing. Components come from alternating large-star and
 small-star steps, each written to the shared folder.
 
+Two bits are far less than a similarity of 0.8: copies with one word in 50 changed differ in 3 to 11 bits, and masks for so
+many can't be afforded. So `dedup` goes on, after the classes above, with `near_copies`: texts are cut into parts at
+places that their words choose (local minima of a hash of two words), and of the texts that share a part each is held
+against one, the text with the largest share of shared parts, which in a group of altered copies is the one they come
+from. Pairs that share `LEAST_SHARED` of their words are verified on whole texts: a Jaccard similarity of 5-word shingles
+of `SIMILAR` or more links them. Each text has one partner a part at most, so the work is linear however large a group is.
+
 Defined results: a null text is an empty one; its fingerprint is zero, linked like any other. Texts of one or two words
 have one shingle. A component's id is its smallest doc_id; null doc_ids are ignored in it, and it is null if all are.
 Repeated rows are kept, with equal results. An empty table gives no rows. `dedup` keeps the row with the smallest doc_id
-of each component (null last, then the first as read), with all columns.
+of each component of all these links (null last, then the first as read), with all columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, record_batch, small_batches
 from .words import WHITE_SPACE_LOWER, Words, annotate
 
 SHINGLE, SEED, BITS = 3, 42, 64
+#: Words to either side of a cut that can't have another; words in a verified shingle.
+REACH, COPY_SHINGLE = 8, 5
+LEAST_SHARED, SIMILAR = 0.3, 0.8
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _VECTORS = [1 + i % 7 for i in range(BITS)]
 #: Mask v - 1: the bits that table v keeps.
 MASKS = [sum(1 << i for i, m in enumerate(_VECTORS) if (m & v).bit_count() & 1) for v in range(1, 8)]
@@ -126,14 +139,99 @@ def classes(fps: DataFrame) -> DataFrame:
     return found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
+    return (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
+
+
+def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, words) of each part, and the words of each text."""
+    words = Words(texts, WHITE_SPACE_LOWER)
+    n = len(words.word)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), words.lengths
+    listed = words.listed()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in listed), np.uint64, len(listed))[words.word]
+    pair = _mixed(hashes)
+    pair[1:] ^= hashes[:-1] * _ODD
+    pair = _mixed(pair)
+    inner = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(REACH, np.uint64), pair, np.zeros(REACH, np.uint64)]), 2 * REACH + 1)
+    cut = np.empty(n, bool)
+    for i in range(0, n, 1 << 18):
+        cut[i : i + (1 << 18)] = inner[i : i + (1 << 18)].min(axis=1) == pair[i : i + (1 << 18)]
+    # a cut so near a text's ends depends on its neighbours in the table, and is none
+    at = np.arange(n) - words.begins[words.doc]
+    cut &= (at > REACH) & (at < words.lengths[words.doc] - REACH)
+    cut[words.begins[words.lengths > 0]] = True
+    starts = np.flatnonzero(cut)
+    length = np.diff(np.append(starts, n))
+    place = np.arange(n) - np.repeat(starts, length)
+    powers = np.cumprod(np.full(int(length.max()), _ODD, np.uint64))
+    return words.doc[starts], np.add.reduceat(_mixed(hashes) * powers[place], starts), length, words.lengths
+
+
+def _part_table(texts: DataFrame) -> DataFrame:
+    """texts: (id, text). (id, n_words, part, words), a part that a text has twice as one row."""
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("part", pa.int64()), ("words", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            doc, part, length, n_words = parts(batch.column(1))
+            order = np.lexsort((part, doc))
+            doc, part, length = doc[order], part[order], length[order]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            held = np.add.reduceat(length, first) if len(first) else length
+            ids = batch.column(0).to_numpy()
+            yield record_batch(schema, {"id": ids[doc[first]], "n_words": n_words[doc[first]], "part": part[first].view(np.int64), "words": held})
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n_words long, part long, words long")
+
+
+def similarity(a: str, b: str) -> float:
+    """Jaccard similarity of the sets of 5-word shingles; of whole texts, if they are shorter."""
+
+    def shingles(text: str) -> set[tuple[bytes, ...]]:
+        words = text.encode().translate(WHITE_SPACE_LOWER).split(b" ")
+        words = [w for w in words if w]
+        return {tuple(words[i : i + COPY_SHINGLE]) for i in range(max(1, len(words) - COPY_SHINGLE + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """texts: (id, text), ids unique. (a, b) of verified near copies."""
+    found = materialize(_part_table(texts), "parts")
+    shared = found.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+    found = materialize(found.join(shared, "part"), "parts")
+    share = found.groupBy("id").agg((F.sum("words") / F.first("n_words")).alias("share"))
+    ranked = found.join(share, "id")
+    partner = ranked.groupBy("part").agg(F.max(F.struct("share", (-F.col("id")).alias("m"), "n_words")).alias("best"))
+    partner = partner.select("part", (-F.col("best.m")).alias("b"), F.col("best.n_words").alias("b_words"))
+    pairs = found.join(partner, "part").filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.sum("words").alias("words"), F.greatest(F.first("n_words"), F.first("b_words")).alias("most"))
+    pairs = materialize(pairs.filter(F.col("words") >= LEAST_SHARED * F.col("most")).select("a", "b"), "pairs")
+    held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            rows = [(a, b) for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))) if similarity(x or "", y or "") >= SIMILAR]
+            yield record_batch(schema, {"a": [a for a, _ in rows], "b": [b for _, b in rows]})
+
+    return held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of `docs`."""
     held = materialize(with_fingerprint(docs, docs.columns).withColumn("id", F.monotonically_increasing_id()), "simhash")
     fps = held.select(F.col("row.doc_id").alias("doc_id"), "fp", "id")
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("id").alias("z"))
     first = fps.groupBy("fp").agg(F.min(order).alias("first"))
-    stay = first.join(classes(fps), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.z").alias("id"))
-    return held.join(stay, "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    stay = materialize(first.join(classes(fps), "fp").groupBy("root").agg(F.min("first").alias("first")), "first")
+    texts = held.select("id", F.col("row.text").alias("text")).join(stay.select(F.col("first.z").alias("id")), "id", "left_semi")
+    linked = components(near_copies(materialize(texts, "texts"))).withColumnRenamed("root", "copy_of")
+    last = stay.join(linked, F.col("first.z") == F.col("node"), "left").groupBy(F.coalesce("copy_of", F.col("first.z"))).agg(F.min("first").alias("first"))
+    return held.join(last.select(F.col("first.z").alias("id")), "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op9_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
