@@ -155,3 +155,28 @@ def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
     )
 
+
+_ROWS = ", ".join(f"({t}, '{label}', {is_phrase}, {n}, {at}, {len(words.split())}, '{words}')" for t, label, is_phrase, n, at, _, words in templates())
+ORACLE_SQL = f"""
+WITH templates(template, label, is_phrase, n_grams, place, k, gram) AS (VALUES {_ROWS}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM docs),
+grams AS (SELECT r, i, w || ' ' || lead(w) OVER o AS g2, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g3 FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+votes AS (
+  SELECT r, template, any_value(label) AS label, any_value(is_phrase) AS is_phrase, any_value(n_grams) AS n_grams, i - place AS diagonal, min(i) AS first_word, max(i) AS last_word, count(*) AS n
+  FROM grams JOIN templates ON gram = CASE WHEN k = {PHRASE_K} THEN g2 ELSE g3 END GROUP BY r, template, i - place),
+parted AS (
+  SELECT *, CASE WHEN is_phrase OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {NEIGHBOURS}, true) THEN 1 ELSE 0 END AS begins
+  FROM votes WHERE NOT is_phrase OR n = n_grams),
+chained AS (SELECT *, sum(begins) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS chain FROM parted),
+spans AS (
+  SELECT r, any_value(label) AS label, any_value(is_phrase) AS is_phrase, min(first_word) AS first_word, least(1.0, CAST(sum(n) AS DOUBLE) / any_value(n_grams)) AS cover
+  FROM chained GROUP BY r, template, chain),
+good AS (SELECT * FROM spans WHERE is_phrase OR cover >= {LEAST_COVER}),
+found AS (
+  SELECT r, count(*) FILTER (WHERE is_phrase) AS n_base, min(first_word) FILTER (WHERE is_phrase) AS first_word, max(first_word) FILTER (WHERE is_phrase) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+  FROM good GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN found USING (r)
+"""

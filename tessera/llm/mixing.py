@@ -131,3 +131,37 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def op7_golden_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS hash
+  FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM rows GROUP BY source),
+weighted AS (SELECT *, {list(WEIGHTS)}[k % {len(WEIGHTS)} + 1] AS w FROM sources),
+ordered AS (
+  SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total,
+         CAST(sum(n) OVER () - {MOST} * (sum(n) OVER o - n) AS DOUBLE) / CAST(sum(w) OVER () - (sum(w) OVER o - w) AS DOUBLE) AS share, row_number() OVER o AS place
+  FROM weighted WINDOW o AS (ORDER BY n / CAST(w AS DOUBLE), k ROWS UNBOUNDED PRECEDING)),
+shared AS (SELECT share FROM ordered WHERE share * w <= {MOST} * n ORDER BY place LIMIT 1),
+goals AS (
+  SELECT k, source, n, total, CASE WHEN s.share * w > {MOST} * n THEN CAST({MOST} * n AS DOUBLE) ELSE s.share * w END AS target,
+         greatest(1, least(total >> {SLOTS.bit_length() - 1}, {BLOCK})) AS block FROM ordered, shared s),
+edges AS (SELECT k, CASE WHEN k = max(k) OVER () THEN 1::BIGINT << {POINT_BITS} ELSE CAST(floor(sum(target) OVER (ORDER BY k) / total * (1::BIGINT << {POINT_BITS})) AS BIGINT) END AS edge FROM goals),
+points AS (SELECT id, id * {GOLDEN} % (1::BIGINT << {POINT_BITS}) AS point FROM (SELECT unnest(range((SELECT CAST(ceil(any_value(total) / CAST(any_value(block) AS DOUBLE)) AS BIGINT) FROM goals))) AS id)),
+falls AS (SELECT id, (SELECT min(k) FROM edges WHERE edge > point) AS k FROM points),
+ranked AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY id) - 1 AS rank FROM falls),
+slots AS (
+  SELECT k, rank % n_blocks AS b, count(*) AS times FROM ranked JOIN (SELECT k, CAST(ceil(n / CAST(block AS DOUBLE)) AS BIGINT) AS n_blocks FROM goals) USING (k)
+  WHERE rank < {MOST} * n_blocks GROUP BY 1, 2),
+places AS (
+  SELECT r.doc_id, r.size, g.k, g.block, CAST(sum(r.size) OVER (PARTITION BY g.k ORDER BY r.hash, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS BIGINT) AS begins, r.hash
+  FROM rows r JOIN goals g ON g.source IS NOT DISTINCT FROM r.source WHERE r.size > 0),
+pieces AS (SELECT *, unnest(range(begins // block, (begins + size - 1) // block + 1)) AS b FROM places),
+given AS (
+  SELECT k, begins, any_value(doc_id) AS doc_id, CAST(sum((least(begins + size, (b + 1) * block) - greatest(begins, b * block)) * coalesce(times, 0)) AS BIGINT) AS taken
+  FROM pieces LEFT JOIN slots USING (k, b) GROUP BY k, begins)
+SELECT p.doc_id, p.size, g.n AS source_size, g.target, v.taken FROM places p JOIN goals g USING (k) JOIN given v USING (k, begins)
+UNION ALL SELECT r.doc_id, r.size, g.n, g.target, 0 FROM rows r JOIN goals g ON g.source IS NOT DISTINCT FROM r.source WHERE r.size = 0
+"""

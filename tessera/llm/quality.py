@@ -129,3 +129,31 @@ def clean(docs: DataFrame) -> DataFrame:
 def op8_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = measure(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
+
+
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY i) AS i FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM docs))),
+counts AS (SELECT r, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars FROM words GROUP BY r),
+windows AS (SELECT r, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY r),
+lines AS (SELECT r, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+filled AS (SELECT *, CAST(len(ws) AS BIGINT) AS n FROM lines WHERE len(ws) > 0),
+judged AS (
+  SELECT r, line, n,
+         NOT regexp_matches(ws[-1], '{_TERMINAL.replace("'", "''")}')
+         OR len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&|<>]'))) > {NOISY} * n
+         OR n >= 3 AND len(regexp_extract_all(line, '\\p{{Lu}}')) > {LOUD} * len(regexp_extract_all(line, '[\\p{{Lu}}\\p{{Ll}}]'))
+         OR len(list_filter(ws, lambda w: regexp_matches(w, '^[|»•>]+$'))) >= 2 AND n - len(list_filter(ws, lambda w: regexp_matches(w, '^[|»•>]+$'))) < {PER_LINK} * len(list_filter(ws, lambda w: regexp_matches(w, '^[|»•>]+$')))
+         OR n <= {SHORT} AND regexp_matches(line, '{_BOILERPLATE}') AS failed
+  FROM filled),
+by_line AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (WHERE NOT failed), 0) AS BIGINT) AS n_kept_words FROM judged GROUP BY r),
+found AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_kept_words, 0) AS n_kept_words
+  FROM docs LEFT JOIN counts USING (r) LEFT JOIN repeats USING (r) LEFT JOIN by_line USING (r))
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND n_kept_words >= {1 - MOST_LOST} * n_words AS kept
+FROM found
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_path_templates": urltree.op10_path_templates,
 }
 
-ORACLE_SQL = {"op3_extendible_hashing": sharding.ORACLE_SQL, "op10_path_templates": urltree.ORACLE_SQL}
+ORACLE_SQL = {
+    "op3_extendible_hashing": sharding.ORACLE_SQL,
+    "op6_diagonal_voting": licenses.ORACLE_SQL,
+    "op7_golden_ratio": mixing.ORACLE_SQL,
+    "op8_line_first": quality.ORACLE_SQL,
+    "op10_path_templates": urltree.ORACLE_SQL,
+}
