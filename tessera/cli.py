@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import election, graphs, moments
 from .session import Session
-from .sources import readers, writers
+from .sources import census, readers, writers
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
@@ -33,7 +33,7 @@ def units(spark: SparkSession, base: str, states: list[int]):
         pass
     parts = None
     for state in states:
-        blocks = readers.blocks(spark, readers.state_file(state, base), state)
+        blocks = readers.blocks(spark, census.prepare_blocks(state, base), state, lines=True)
         blocks = blocks.withColumn("block", F.monotonically_increasing_id())
         placed = moments.block_positions(moments.vertices(blocks, "block", "unit_id", "pop"), "block", "unit_id", "pop")
         parts = placed if parts is None else parts.unionByName(placed)
@@ -51,7 +51,7 @@ def main(args: list[str] | None = None) -> None:
     chosen = readers.select_states(readers.states(spark, f"{a.base}/data/state_codes.tsv"), a.states).collect()
     print("States: " + ", ".join(r.name for r in chosen))
     found = units(spark, a.base, [r.code for r in chosen])
-    boundaries = readers.county_boundaries(spark, readers.county_file(a.base)).join(found.select("unit_id"), "unit_id", "left_semi")
+    boundaries = readers.county_boundaries(spark, census.prepare_counties(a.base), lines=True).join(found.select("unit_id"), "unit_id", "left_semi")
     session = Session(spark, found, boundaries, graphs.adjacency(boundaries), graphs.interactions(found, a.personal_stdev, a.personal_max_distance), a.num_partitions, a.seed, readers.votes(spark, f"{a.base}/data/election2020.csv"))
     for line in sys.stdin:
         session.run(line)

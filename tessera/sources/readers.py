@@ -17,8 +17,7 @@ def base_dir() -> str:
 
 
 def state_file(state: int, base: str | None = None) -> str:
-    """The place of a state's census blocks; its number has two digits. Fetching and unpacking the files happens outside
-    the engine."""
+    """The place of a state's census blocks; its number has two digits."""
     return f"{base or base_dir()}/data/downloads/tl_2020_{state:02d}_tabblock20.json"
 
 
@@ -45,15 +44,26 @@ def geometry_of(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "MultiPolygon", many).when(kind == "Polygon", F.array(one))
 
 
+def _feature(properties: str) -> str:
+    return f"struct<type:string,properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
+
+
+def _columns(found: DataFrame) -> DataFrame:
+    return found.select("f.properties.*", geometry_of(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
+
+
+def parsed_features(lines: DataFrame, properties: str) -> DataFrame:
+    """`features` of rows (value), a feature each."""
+    return _columns(lines.select(F.from_json("value", _feature(properties)).alias("f")))
+
+
 def features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
     """GeoJSON features as (properties columns, geometry). properties: their DDL. lines: one feature a line, which Spark
     splits; otherwise one collection a file."""
-    feature = f"struct<type:string,properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
     if lines:
-        found = spark.read.text(path).select(F.from_json("value", feature).alias("f"))
-    else:
-        found = spark.read.schema(f"type string, features array<{feature}>").option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    return found.select("f.properties.*", geometry_of(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("geometry"))
+        return parsed_features(spark.read.text(path), properties)
+    schema = f"type string, features array<{_feature(properties)}>"
+    return _columns(spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")))
 
 
 def blocks(spark: SparkSession, path: str, state: int, lines: bool = False) -> DataFrame:

@@ -1,7 +1,9 @@
 """Sources, sinks, sessions and streams."""
 
 import json
+import struct
 import time
+import zipfile
 from dataclasses import replace
 
 import pytest
@@ -11,7 +13,7 @@ from tessera import cli, session, svg
 from tessera.operators import assignment as A
 from tessera.operators import election, geometry, graphs
 from tessera.plans import fixtures as X
-from tessera.sources import readers, writers
+from tessera.sources import census, readers, writers
 from tessera.streaming import commands
 
 
@@ -38,6 +40,52 @@ def test_geojson(spark, tmp_path, lines):
     assert rows(readers.county_boundaries(spark, str(file), lines))[0] == (6003, [[SQUARE]])
 
 
+def shape_file(shapes, rows):
+    """A shape file and its table: rings of points for each shape, or None."""
+    body = b""
+    for i, rings in enumerate(shapes, 1):
+        if rings is None:
+            content = struct.pack("<i", 0)
+        else:
+            points = [p for r in rings for p in r]
+            firsts = [sum(map(len, rings[:k])) for k in range(len(rings))]
+            content = struct.pack("<i4dii", 5, 0, 0, 0, 0, len(rings), len(points)) + struct.pack(f"<{len(firsts)}i", *firsts) + b"".join(struct.pack("<2d", *p) for p in points)
+        body += struct.pack(">ii", i, len(content) // 2) + content
+    fields = [(b"GEOID", b"C", 5, 0), (b"COUNTYFP20", b"C", 3, 0), (b"POP20", b"N", 8, 0), (b"LAND", b"N", 8, 2)]
+    table = struct.pack("<B3sIHH20x", 3, b"\0\0\0", len(rows), 33 + 32 * len(fields), 1 + sum(f[2] for f in fields))
+    table += b"".join(n.ljust(11, b"\0") + k + b"\0" * 4 + bytes([size, dec]) + b"\0" * 14 for n, k, size, dec in fields) + b"\r"
+    table += b"".join(b" " + b"".join(str(v).encode().rjust(f[2]) for v, f in zip(row, fields)) for row in rows)
+    return b"\0" * 100 + body, table
+
+
+def test_shape_files(spark, tmp_path):
+    hole = [(0.25, 0.25), (0.5, 0.25), (0.5, 0.5), (0.25, 0.25)]
+    square = [tuple(p) for p in SQUARE]
+    away = [(x + 5, y) for x, y in square]
+    shp, dbf = shape_file([[square], [away, square, hole], None], [("06003", "003", 12, "1.50"), ("06005", "005", 7, ""), ("06007", "007", "", "2.00")])
+    found = list(census.features(shp, dbf))
+    assert [f["properties"]["POP20"] for f in found] == [12, 7, None] and found[0]["properties"]["LAND"] == 1.5 and found[2]["geometry"] is None
+    assert found[0]["geometry"] == {"type": "Polygon", "coordinates": [square]} and found[1]["geometry"] == {"type": "MultiPolygon", "coordinates": [[away], [square, hole]]}
+
+    def fetch(url, file):
+        asked.append(url)
+        with zipfile.ZipFile(file, "w") as z:
+            z.writestr("x.shp", shp)
+            z.writestr("x.dbf", dbf)
+
+    asked = []
+    for _ in range(2):  # the second time it is there
+        path = census.prepare_blocks(6, str(tmp_path), fetch)
+        counties = census.prepare_counties(str(tmp_path), fetch)
+    assert asked == [census.BLOCKS_URL + "tl_2020_06_tabblock20.zip", census.COUNTIES_URL + "tl_2020_us_county.zip"]
+    assert [(r.unit_id, r.pop, len(r.geometry)) for r in readers.blocks(spark, path, 6, lines=True).collect()] == [(6003, 12.0, 1), (6005, 7.0, 2)]
+    assert [r.unit_id for r in readers.county_boundaries(spark, counties, lines=True).collect()] == [6003, 6005, 6007]
+    straight = census.zipped_features(spark, f"{tmp_path}/data/downloads/*.zip", "POP20:double,COUNTYFP20:string")
+    assert straight.count() == 6 and straight.filter("geometry is null").count() == 2
+    with pytest.raises(ValueError, match="type 1"):
+        list(census.features(b"\0" * 100 + struct.pack(">iii", 1, 10, 0)[:8] + struct.pack("<i", 1) + b"\0" * 16, dbf))
+
+
 def test_states(spark, tmp_path):
     file = tmp_path / "states.tsv"
     file.write_text("Name\tAlpha code\tNumeric code\n# a remark\nCalifornia\tCA\t6\nArizona\tAZ\t4\n")
