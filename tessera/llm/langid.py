@@ -33,7 +33,7 @@ from .words import annotate
 
 SAMPLE, MOST_LANGUAGES = 400, 64
 SWITCH, FLOOR = 14.0, -4.0
-KEEP = 500_000
+KEEP = 1_000_000
 UNDETERMINED = "und"
 
 # First code point and name of script ranges; a range ends where the next begins.
@@ -47,29 +47,54 @@ _SCRIPTS = [
     (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"),
     (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "other"), (0x20000, "han"),
 ]
-_STARTS = np.array([s for s, _ in _SCRIPTS])
+_STARTS = np.array([start for start, _ in _SCRIPTS])
+_NAMES = sorted({name for _, name in _SCRIPTS})
+#: For each code point: whether it is a letter, whether it is part of a word (a letter or a mark), and its script.
+_letter = _part = _script = None
 
 
-def script(letter: str) -> str:
-    return _SCRIPTS[max(0, int(np.searchsorted(_STARTS, ord(letter), side="right")) - 1)][1]
-
-
-def _letters(unit: str) -> str:
-    """The letters of a stretch, runs of others between them as one space."""
-    if unit.isalpha():
-        return unit
-    return " ".join("".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in unit).split())
-
-
-def _script_of(letters: str) -> str:
-    if letters.isascii():
-        return "latin"
-    return min(Counter(script(c) for c in letters if c.isalpha()).items(), key=lambda x: (-x[1], x[0]))[0] if letters.strip() else "other"
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    global _letter, _part, _script
+    if _letter is None:
+        n = 0x110000
+        _letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
+        _part = _letter | np.fromiter((unicodedata.category(chr(i))[0] == "M" for i in range(n)), bool, n)
+        ids = np.array([_NAMES.index(name) for _, name in _SCRIPTS], np.uint8)
+        _script = ids[np.maximum(np.searchsorted(_STARTS, np.arange(n), side="right") - 1, 0)]
+    return _letter, _part, _script
 
 
-def _grams(letters: str) -> list[str]:
-    padded = f" {letters} "
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+def script(letter: str) -> str:
+    return _NAMES[_tables()[2][ord(letter)]]
+
+
+_SPACE = 32
+
+
+class Letters:
+    """Words as code points: a space before and after each, and one for what is no letter in between. key: a number for
+    each trigram, and the word that it is in. letters: how many each word has. script: that of most of them, ties to the
+    first by name, or -1."""
+
+    def __init__(self, units: list[str]):
+        letter, part, kind = _tables()
+        n = len(units)
+        size = np.fromiter(map(len, units), np.int64, n)
+        points = np.frombuffer((" ".join(["", *units, ""])).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)[: int(size.sum()) + n + 1]
+        unit = np.repeat(np.arange(n), size + 1)  # each with the space before it
+        points, last = points[:-1], np.cumsum(size + 1)
+        points, unit = np.insert(points, last, _SPACE), np.insert(unit, last, np.arange(n))  # and its own after it
+        alpha = letter[points]
+        self.letters = np.bincount(unit[alpha], minlength=n)
+        by_script = np.bincount(unit[alpha] * len(_NAMES) + kind[points[alpha]], minlength=n * len(_NAMES)).reshape(n, len(_NAMES)) if n else np.zeros((0, len(_NAMES)), np.int64)
+        self.script = np.where(self.letters > 0, by_script.argmax(axis=1), -1) if n else np.zeros(0, np.int64)
+        points = np.where(part[points], points, _SPACE)
+        held = np.ones(len(points), bool)
+        held[1:] = (points[1:] != _SPACE) | (points[:-1] != _SPACE) | (unit[1:] != unit[:-1])
+        points, unit = points[held], unit[held]
+        inside = unit[2:] == unit[:-2]
+        self.key = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside]
+        self.unit = unit[2:][inside]
 
 
 # --- learning -----------------------------------------------------------------------------------------------------
@@ -86,64 +111,68 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, most: int = MOST_LANGUAG
 
 def learn(docs: DataFrame, per_language: int = SAMPLE) -> "Model":
     """docs: (doc_id, text, lang), the rows to learn from."""
-    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[lang, "doc", ""] += 1
-                for unit, n in Counter(text.lower().split()).items():
-                    if letters := _letters(unit):
-                        counts[lang, "script", _script_of(letters)] += n * len(letters)
-                        for gram in _grams(letters):
-                            counts[lang, "gram", gram] += n
+                units, times = zip(*Counter(text.lower().split()).items()) if text.split() else ((), ())
+                found, times = Letters(list(units)), np.array(times, np.int64)
+                counts[lang, "doc", 0] += 1
+                for k, n in enumerate(np.bincount(found.script + 1, weights=found.letters * times, minlength=1).tolist()[1:]):
+                    counts[lang, "script", k] += int(n)
+                keys, at = np.unique(found.key[found.letters[found.unit] > 0], return_inverse=True)
+                for key, n in zip(keys.tolist(), np.bincount(at, weights=times[found.unit[found.letters[found.unit] > 0]], minlength=len(keys)).tolist()):
+                    counts[lang, "gram", key] += int(n)
         if counts:
-            yield record_batch(schema, dict(zip(schema.names, [*zip(*counts), counts.values()])) | {"n": list(counts.values())})
+            yield record_batch(schema, dict(zip(schema.names, [*zip(*counts), list(counts.values())])))
 
-    rows = sample(docs, per_language).mapInArrow(run, "lang string, kind string, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n"))
+    rows = sample(docs, per_language).mapInArrow(run, "lang string, kind string, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     return Model(rows.collect())  # bounded by the sample
 
 
 class Model:
+    """rows: (lang, kind, key, n), the number of documents, of letters by script and of trigrams."""
+
     def __init__(self, rows: list):
         sizes = {r.lang: r.n for r in rows if r.kind == "doc"}
         self.languages = sorted(sizes)
         self.common = max(range(len(sizes)), key=lambda k: (sizes[self.languages[k]], -k), default=None)
         at = {x: k for k, x in enumerate(self.languages)}
-        width = len(at)
-        uses: dict[str, np.ndarray] = {}
-        self.grams: dict[str, int] = {}
+        letters = np.zeros((len(_NAMES), len(at)))
+        self.keys = np.array(sorted({r.key for r in rows if r.kind == "gram"}), np.int64)
+        place = {k: i for i, k in enumerate(self.keys.tolist())}
+        counts = np.zeros((len(place) + 1, len(at)))  # the last row: trigrams that were not seen
         for r in rows:
             if r.kind == "gram":
-                self.grams.setdefault(r.name, len(self.grams))
+                counts[place[r.key], at[r.lang]] = r.n
             elif r.kind == "script":
-                uses.setdefault(r.name, np.zeros(width))[at[r.lang]] = r.n
-        counts = np.zeros((len(self.grams) + 1, width))  # the last row: trigrams that were not seen
-        for r in rows:
-            if r.kind == "gram":
-                counts[self.grams[r.name], at[r.lang]] = r.n
+                letters[r.key, at[r.lang]] = r.n
         smoothed = counts + 0.5
-        self.logs = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32) if width else np.zeros((1, 0), np.float32)
-        letters = sum(uses.values(), np.zeros(width))
+        self.logs = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
         #: A language uses a script that holds a hundredth of its letters or more.
-        self.scripts = {s: n >= 0.01 * np.maximum(letters, 1) for s, n in uses.items()}
-
-    def word(self, unit: str) -> tuple[np.ndarray | None, int]:
-        """Scores by language and the number of letters; no scores where no language uses the script."""
-        letters = _letters(unit)
-        n = len(letters) - letters.count(" ")
-        if not n:
-            return None, 0
-        allowed = self.scripts.get(_script_of(letters))
-        if allowed is None or not allowed.any():
-            return None, n
-        get, last = self.grams.get, len(self.grams)
-        score = self.logs[[get(g, last) for g in _grams(letters)]].sum(axis=0)
+        self.uses = (letters > 0) & (letters >= 0.01 * letters.sum(axis=0))
+
+    def score(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word its scores by language, its letters, and whether some language uses its script; if none does,
+        or it has no letter, its scores are 0."""
+        found = Letters(units)
+        n = len(units)
+        row = np.minimum(np.searchsorted(self.keys, found.key), max(len(self.keys) - 1, 0))
+        row = np.where(self.keys[row] == found.key, row, len(self.keys)) if len(self.keys) else np.zeros(len(found.key), np.int64)
+        score = np.zeros((n, len(self.languages)), np.float32)
+        first = np.flatnonzero(np.diff(found.unit, prepend=-1))
+        score[found.unit[first]] = np.add.reduceat(self.logs[row], first, axis=0) if len(first) else 0
+        allowed = self.uses[found.script] & (found.script >= 0)[:, None]
+        scored = allowed.any(axis=1)
         score = np.where(allowed, score, -np.inf)
-        score = score - score.max()
-        score -= np.log(np.exp(score).sum())
-        return np.maximum(score, np.where(allowed, FLOOR, 2 * FLOOR)), n
+        score[~scored] = 0
+        score -= score.max(axis=1, keepdims=True)
+        score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
+        score = np.maximum(score, np.where(allowed, FLOOR, 2 * FLOOR))
+        score[~scored] = 0
+        return score.astype(np.float32), found.letters, scored
 
 
 # --- labelling ----------------------------------------------------------------------------------------------------
@@ -197,24 +226,31 @@ class _Words:
     """Scores of the distinct words that a worker has met; it forgets all when it has KEEP."""
 
     def __init__(self, model: Model):
-        self.model, self.index = model, {}
-        self.scores, self.letters = np.zeros((1024, len(model.languages)), np.float32), np.zeros(1024, np.int64)
-        self.scored = np.zeros(1024, bool)
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.scores, self.letters, self.scored = np.zeros((1 << 14, len(self.model.languages)), np.float32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
 
     def rows(self, units: list[str]) -> np.ndarray:
-        if len(self.index) + len(units) > KEEP and len(units) < KEEP:
-            self.index = {}
-        index = self.index
-        for unit in units:
-            if unit in index:
-                continue
-            k = index[unit] = len(index)
-            if k == len(self.letters):
+        """The rows of words that are all different."""
+        if len(self.index) + len(units) > KEEP:
+            self._forget()
+        found = list(map(self.index.get, units))
+        missing = [i for i, k in enumerate(found) if k is None]
+        if missing:
+            first, last = len(self.index), len(self.index) + len(missing)
+            new = [units[i] for i in missing]
+            while last > len(self.letters):
                 self.scores, self.letters, self.scored = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.letters, self.scored))
-            score, self.letters[k] = self.model.word(unit)
-            self.scored[k] = score is not None
-            self.scores[k] = 0 if score is None else score
-        return np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+            for i in range(0, len(new), 1 << 14):
+                at = slice(first + i, min(first + i + (1 << 14), last))
+                self.scores[at], self.letters[at], self.scored[at] = self.model.score(new[i : i + (1 << 14)])
+            self.index.update(zip(new, range(first, last)))
+            for i, k in zip(missing, range(first, last)):
+                found[i] = k
+        return np.array(found, np.int64)
 
 
 def label_texts(words: _Words, texts: pa.Array) -> list[list[tuple[str, int, int, int]]]:
