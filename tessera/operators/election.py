@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from ..storage import materialize
 from .assignment import populations
 
 #: Seats dealt out among the partitions; Alaska's and Hawaii's three are left out, and their electors fixed.
@@ -24,12 +25,12 @@ def parse_returns(returns: DataFrame, year: int = 2020, excluded: tuple[str, ...
 def apportion(populations: DataFrame, seats: int = SEATS) -> DataFrame:
     """Huntington-Hill: (partition_id, seats). One seat each, and the rest to the highest priorities, ties to the higher
     id. A partition's priorities fall from seat to seat, so the highest of all are what a heap would give."""
-    count = F.broadcast(populations.agg(F.greatest(F.lit(seats) - F.count("*"), F.lit(0)).alias("rest")))  # one row
-    steps = populations.join(count).select("partition_id", "pop", "rest", F.explode(F.sequence(F.lit(1), F.greatest("rest", F.lit(1)))).alias("k"))
-    steps = steps.filter("k <= rest").withColumn("priority", F.col("pop") / F.sqrt(F.col("k") * (F.col("k") + 1.0)))
+    rest = F.greatest(F.lit(seats) - populations.select(F.count("*")).scalar(), F.lit(0))
+    steps = populations.select("partition_id", "pop", F.explode(F.sequence(F.lit(1), F.lit(seats))).alias("k"))
+    steps = steps.withColumn("priority", F.col("pop") / F.sqrt(F.col("k") * (F.col("k") + 1.0)))
     won = steps.orderBy(F.desc("priority"), F.desc("partition_id")).limit(seats)
     by_priority = Window.orderBy(F.desc("priority"), F.desc("partition_id"))  # over `seats` rows at most
-    won = won.withColumn("place", F.row_number().over(by_priority)).filter("place <= rest").groupBy("partition_id").agg(F.count("*").alias("more"))
+    won = won.withColumn("place", F.row_number().over(by_priority)).filter(F.col("place") <= rest).groupBy("partition_id").agg(F.count("*").alias("more"))
     return populations.join(won, "partition_id", "left").select("partition_id", (1 + F.coalesce("more", F.lit(0))).cast("long").alias("seats"))
 
 
@@ -44,7 +45,7 @@ def partition_votes(assignment: DataFrame, votes: DataFrame, strict: bool = True
 def simulate(assignment: DataFrame, units: DataFrame, votes: DataFrame, strict: bool = True) -> DataFrame:
     """(partition_id, pop, dem, gop, gop_fraction, seats, electors, winner). A tie goes to GOP; a partition's electors
     are its seats and two. gop_fraction is NaN where neither party has votes."""
-    held = populations(assignment, units)
+    held = materialize(populations(assignment, units), "populations")  # a row for each partition, used four times
     found = held.join(partition_votes(assignment, votes, strict), "partition_id").join(apportion(held), "partition_id")
     winner = F.when(F.col("dem") > F.col("gop"), "DEM").otherwise("GOP")
     return found.select("partition_id", "pop", "dem", "gop", E.ratio(F.col("gop"), F.col("dem")).alias("gop_fraction"), "seats", (F.col("seats") + 2).alias("electors"), winner.alias("winner"))
