@@ -15,7 +15,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     state = None
     for _ in range(most_rounds):
         both = stars.union(stars.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # written first, so that Spark can split a node with very many neighbours in the join
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
