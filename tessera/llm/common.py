@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What a worker process keeps from task to task, by name. Tasks of other operators let go of it.
+KEPT: dict[str, object] = {}
+
+
+def trim() -> None:
+    """Gives memory that is free back to the machine: worker processes live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where it is unset, as in tests, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,8 +59,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into slices with about `max_bytes` of `column` each; a larger row stays whole."""
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into slices with about `max_bytes` of `column` each; a larger row stays whole. keeps: what the
+    task uses of KEPT; the rest is let go."""
+    for name in [n for n in KEPT if n != keeps]:
+        del KEPT[name]
+    trim()
+    yield from _cut(batches, column, max_bytes)
+    trim()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if not n:

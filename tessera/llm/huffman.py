@@ -136,7 +136,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = tokens.encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 8 << 20, tokenizer):
             ids, counts = encoder.encode(batch.column(1))
             ids, ends = ids.astype(np.uint32), np.cumsum(counts)
             packed, crcs = [], []

@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
             ids, owners = ids[upto:], rest
             return record_batch(schema, out)
 
-        for batch in small_batches(batches, "text", 1 << 20):
+        for batch in small_batches(batches, "text", 4 << 20, tokenizer):
             found, counts = encoder.encode(batch.column(1))
             ends = np.cumsum(counts)
             stream = np.insert(found.astype(np.uint32), ends, np.uint32(end_id))

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import KEPT
+
 #: Texts that are encoded whole: with a run of three white-space characters or two at the end, a space before a
 #: line's end, or a zero.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
@@ -22,8 +24,7 @@ _ODD = rf"{_SPACE}{{3}}| \n|\x00|{_SPACE}{{2}}$"
 #: Texts with a full stop or comma before a space that follows no letter or digit.
 _ODD_STOP = r"(?:^|[^\pL\pN])[,.][ \n]"
 #: Stretches that a worker keeps; beyond this it forgets all and goes on, which changes no result.
-KEEP = 1_500_000
-_encoders: dict[tuple[str, int], "Encoder"] = {}
+KEEP = 1_200_000
 
 
 def default_path(name: str) -> str:
@@ -127,8 +128,8 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
-def encoder(path: str, keep: int = KEEP) -> Encoder:
-    """One for each worker process and file."""
-    if (path, keep) not in _encoders:
-        _encoders[path, keep] = Encoder(path, keep)
-    return _encoders[path, keep]
+def encoder(path: str) -> Encoder:
+    """One for each worker process and file, in KEPT under the file's path."""
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
