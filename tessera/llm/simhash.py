@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, record_batch, small_batches
+from .common import drop_path, materialize, record_batch, small_batches, work_path
 from .words import WHITE_SPACE_LOWER, Words, annotate
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -116,7 +116,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its neighbours below go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -201,15 +201,22 @@ def similarity(a: str, b: str) -> float:
 
 def near_copies(texts: DataFrame) -> DataFrame:
     """texts: (id, text), ids unique. (a, b) of verified near copies."""
-    found = materialize(_part_table(texts), "parts")
-    shared = found.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
-    found = materialize(found.join(shared, "part"), "parts")
+    spark = texts.sparkSession
+    work = work_path(spark, "near")
+    found = materialize(_part_table(texts), "", f"{work}/parts")
+    # what is joined by a key that may be hot is written first: Spark splits large partitions of a join, but not of a
+    # join with sums by the same key
+    shared = materialize(found.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part"), "", f"{work}/keys")
+    found = materialize(found.join(shared, "part"), "", f"{work}/shared")
+    drop_path(spark, f"{work}/parts")
     share = found.groupBy("id").agg((F.sum("words") / F.first("n_words")).alias("share"))
     ranked = found.join(share, "id")
     partner = ranked.groupBy("part").agg(F.max(F.struct("share", (-F.col("id")).alias("m"), "n_words")).alias("best"))
-    partner = partner.select("part", (-F.col("best.m")).alias("b"), F.col("best.n_words").alias("b_words"))
+    partner = materialize(partner.select("part", (-F.col("best.m")).alias("b"), F.col("best.n_words").alias("b_words")), "", f"{work}/partners")
     pairs = found.join(partner, "part").filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.sum("words").alias("words"), F.greatest(F.first("n_words"), F.first("b_words")).alias("most"))
-    pairs = materialize(pairs.filter(F.col("words") >= LEAST_SHARED * F.col("most")).select("a", "b"), "pairs")
+    pairs = materialize(pairs.filter(F.col("words") >= LEAST_SHARED * F.col("most")).select("a", "b"), "", f"{work}/pairs")
+    drop_path(spark, f"{work}/shared")
+    drop_path(spark, f"{work}/partners")
     held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -218,18 +225,21 @@ def near_copies(texts: DataFrame) -> DataFrame:
             rows = [(a, b) for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))) if similarity(x or "", y or "") >= SIMILAR]
             yield record_batch(schema, {"a": [a for a, _ in rows], "b": [b for _, b in rows]})
 
-    return held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long")
+    return materialize(held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long"), "copies")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of `docs`."""
+    spark = docs.sparkSession
     held = materialize(with_fingerprint(docs, docs.columns).withColumn("id", F.monotonically_increasing_id()), "simhash")
     fps = held.select(F.col("row.doc_id").alias("doc_id"), "fp", "id")
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("id").alias("z"))
     first = fps.groupBy("fp").agg(F.min(order).alias("first"))
     stay = materialize(first.join(classes(fps), "fp").groupBy("root").agg(F.min("first").alias("first")), "first")
     texts = held.select("id", F.col("row.text").alias("text")).join(stay.select(F.col("first.z").alias("id")), "id", "left_semi")
-    linked = components(near_copies(materialize(texts, "texts"))).withColumnRenamed("root", "copy_of")
+    path = work_path(spark, "texts")
+    linked = components(near_copies(materialize(texts, "", path))).withColumnRenamed("root", "copy_of")
+    drop_path(spark, path)
     last = stay.join(linked, F.col("first.z") == F.col("node"), "left").groupBy(F.coalesce("copy_of", F.col("first.z"))).agg(F.min("first").alias("first"))
     return held.join(last.select(F.col("first.z").alias("id")), "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
