@@ -30,7 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Slots that a mix has at least, if it has so many words; words of a block at most.
 SLOTS, BLOCK = 1 << 16, 1 << 16
 GOLDEN, POINT_BITS = 2654435769, 32
-_SLOT_RANGE = 12
+#: Sources of a mix at most; their table is collected and sent to all tasks.
+MOST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -57,7 +58,9 @@ class Mix:
 
     def __init__(self, rows: DataFrame):
         spark = self.spark = rows.sparkSession
-        by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
+        by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+        if len(by_source) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources; mix groups of them")
         self.sources = targets([(r.source, r.size) for r in by_source])
         self.total, n_rows = sum(s[2] for s in self.sources), sum(r.n for r in by_source)
         self.block = max(1, min(self.total >> SLOTS.bit_length() - 1, BLOCK))
@@ -78,6 +81,7 @@ class Mix:
     def slots(self) -> DataFrame:
         """(slot, k, block) of all slots."""
         n = -(-self.total // self.block)
+        range_bits = max(4, n.bit_length() // 2)
         cumulated, edges = 0.0, []
         for *_, target in self.sources:
             cumulated += target
@@ -87,7 +91,7 @@ class Mix:
         # multiplied in two halves, which stay within a long for any slot
         point = F.expr(f"((id & 4294967295L) * {GOLDEN}L) & {(1 << POINT_BITS) - 1}L")
         passed = F.filter(F.array(*(F.lit(e) for e in edges[:-1])).cast("array<long>"), lambda e: e <= F.col("point")) if len(edges) > 1 else F.array()
-        slots = self.spark.range(n).withColumn("point", point).select(F.col("id").alias("slot"), F.size(passed).alias("k"), F.expr(f"shiftright(id, {_SLOT_RANGE})").alias("range"))
+        slots = self.spark.range(n).withColumn("point", point).select(F.col("id").alias("slot"), F.size(passed).alias("k"), F.expr(f"shiftright(id, {range_bits})").alias("range"))
         base = slots.groupBy("k", "range").count()
         base = base.select("k", "range", (F.sum("count").over(Window.partitionBy("k").orderBy("range")) - F.col("count")).alias("base"))
         ranked = slots.withColumn("rank", F.row_number().over(Window.partitionBy("k", "range").orderBy("slot")) - 1).join(base, ["k", "range"])
