@@ -382,3 +382,14 @@ def test_batches_are_cut_by_bytes():
     batch = pa.record_batch({"text": ["a" * n for n in (10, 0, 900, 20, 1000, 3)]})
     parts = [b.column(0).to_pylist() for b in small_batches([batch], "text", 100)]
     assert sum(parts, []) == batch.column(0).to_pylist() and len(parts) > 3
+
+
+def test_workers_let_go_of_what_others_keep():
+    from tessera.llm.common import KEPT
+
+    path = tokens.default_path(WORD)
+    held = tokens.encoder(path)
+    list(small_batches([], "text", keeps=path))
+    assert tokens.encoder(path) is held
+    list(small_batches([], "text"))
+    assert path not in KEPT

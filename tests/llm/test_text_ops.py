@@ -206,6 +206,13 @@ def test_a_small_source_is_taken_three_times_at_most(spark):
     assert all(r.taken == 150 for r in found if r.doc_id < 100)
 
 
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    df = spark.createDataFrame([(i, "w", str(i)) for i in range(3)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.taken(df)
+
+
 def test_the_mix_is_even_at_every_stretch(spark):
     rows = [(1000 * k + i, "w " * 20, s) for k, s in enumerate("abc") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
