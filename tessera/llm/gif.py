@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,13 @@ def _schedule(bits: int, n: int) -> np.ndarray:
     return np.clip(np.frexp(np.minimum(held, _FULL - 1).astype(np.float64))[1], bits + 1, 12).astype(np.int64)
 
 
+@lru_cache(maxsize=16)
+def _plan(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """`_schedule` for as many codes as are read at a time and more, and where they begin."""
+    widths = _schedule(bits, 2 * _FULL)
+    return widths, np.concatenate([[0], np.cumsum(widths)])
+
+
 def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes of up to 12 bits, least significant bit first."""
     ends = np.cumsum(widths)
@@ -88,7 +96,7 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     widths = np.empty(n, np.int64)
     widths[0] = bits + 1
     edges = [*segments, n - 1]
-    plan = _schedule(bits, max(b - a for a, b in zip(edges, edges[1:])) + 1)
+    plan = _plan(bits)[0]
     for a, b in zip(edges, edges[1:]):  # codes a + 1 to b, b being the next clear code or the end
         widths[a + 1 : b + 1] = plan[: b - a]
     return _pack(np.array(put_end, np.int64), widths)
@@ -100,8 +108,7 @@ def lzw_decode(stream: bytes, bits: int) -> bytes:
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     total = 8 * len(stream)
-    plan = _schedule(bits, 8192)
-    offsets = np.concatenate([[0], np.cumsum(plan)])
+    plan, offsets = _plan(bits)
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
     put = out.append
@@ -267,9 +274,10 @@ def _frames(data: bytes, width: int, height: int, flags: int, background: int) -
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of visible samples in 4 x 4 x 4 colour bins."""
-    flat = rgba.reshape(-1, 4)
-    flat = flat[flat[:, 3] > 0].astype(np.int64) * _CHANNEL_BINS // 256
-    return np.bincount((flat[:, 0] * _CHANNEL_BINS + flat[:, 1]) * _CHANNEL_BINS + flat[:, 2], minlength=_CHANNEL_BINS**3)
+    channel = rgba.reshape(-1, 4) >> 6  # four bins each
+    keys = channel[:, 0] << 4 | channel[:, 1] << 2 | channel[:, 2]
+    shown = rgba.reshape(-1, 4)[:, 3] > 0
+    return np.bincount(keys if shown.all() else keys[shown], minlength=_CHANNEL_BINS**3)
 
 
 # --- payloads -----------------------------------------------------------------------------------------------------
