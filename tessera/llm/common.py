@@ -62,9 +62,10 @@ def partitions(spark: SparkSession) -> int:
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices with about `max_bytes` of `column` each; a larger row stays whole. keeps: what the
     task uses of KEPT; the rest is let go."""
-    for name in [n for n in KEPT if n != keeps]:
-        del KEPT[name]
-    trim()
+    if others := [n for n in KEPT if n != keeps]:
+        for name in others:
+            del KEPT[name]
+        trim()
     yield from _cut(batches, column, max_bytes)
     trim()
 

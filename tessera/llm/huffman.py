@@ -31,7 +31,7 @@ from . import tokens
 from .common import drop_path, materialize, partitions, record_batch, small_batches, work_path
 
 END_ID = 2
-MAX_BITS = 18
+MAX_BITS = 16
 
 
 # --- the code -----------------------------------------------------------------------------------------------------
@@ -93,19 +93,24 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def pack_bits(codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of all codes, and where each begins."""
-    lengths = lengths.astype(np.int64)
+    """The bits of all codes, of up to 16 bits each, and where every second one begins. Neighbours are joined first."""
+    codes, lengths = codes.astype(np.uint64), lengths.astype(np.uint64)
+    if len(codes) % 2:
+        codes, lengths = np.append(codes, np.uint64(0)), np.append(lengths, np.uint64(0))
+    codes = codes[::2] << lengths[1::2] | codes[1::2]
+    lengths = lengths[::2] + lengths[1::2]
     ends = np.cumsum(lengths)
     begins = ends - lengths
-    n_words = int(ends[-1] + 31 >> 5) + 1 if len(ends) else 0
-    words = np.zeros(n_words, np.uint64)
-    if len(ends):
-        at = begins >> 5
-        value = codes.astype(np.uint64) << (64 - (begins & 31) - lengths).astype(np.uint64)
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        words[at[first]] += np.add.reduceat(value >> np.uint64(32), first)
-        words[at[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    return words.astype(">u4").tobytes()[: int(ends[-1] + 7 >> 3) if len(ends) else 0], begins
+    if not len(ends):
+        return b"", begins.astype(np.int64)
+    words = np.zeros((int(ends[-1]) + 31 >> 5) + 1, np.uint64)
+    at = (begins >> np.uint64(5)).astype(np.int64)
+    codes <<= np.uint64(64) - (begins & np.uint64(31)) - lengths
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # a code is no longer than a word, so none is skipped
+    into = at[first]
+    words[into] += np.add.reduceat(codes >> np.uint64(32), first)
+    words[into + 1] += np.add.reduceat(codes & np.uint64(0xFFFFFFFF), first)
+    return words.astype(">u4").tobytes()[: int(ends[-1]) + 7 >> 3], begins.astype(np.int64)
 
 
 def unpack_ids(bits: bytes, checkpoints: np.ndarray, n: int, stride: int, table: np.ndarray, width: int) -> np.ndarray:
@@ -131,22 +136,27 @@ def unpack_ids(bits: bytes, checkpoints: np.ndarray, n: int, stride: int, table:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, crc, ids): the ids of each whole text and the end id, as compressed little-endian integers."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
+    """(doc_id, n_tokens, crc, ids, tally): the ids of each whole text and the end id, as compressed little-endian
+    integers. tally, in the first row of each batch, has the batch's ids and how often each occurs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()), ("tally", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = tokens.encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         for batch in small_batches(batches, "text", 8 << 20, tokenizer):
             ids, counts = encoder.encode(batch.column(1))
             ids, ends = ids.astype(np.uint32), np.cumsum(counts)
+            times = np.bincount(ids, minlength=end_id + 1)
+            times[end_id] += len(counts)
+            seen = np.flatnonzero(times)
+            tally = packer.compress(np.concatenate([seen, times[seen]]).astype(np.int64).tobytes())
             packed, crcs = [], []
             for begin, end in zip(ends - counts, ends):
                 own = np.append(ids[begin:end], np.uint32(end_id))
                 crcs.append(zlib.crc32(own.tobytes()))
                 packed.append(packer.compress(own.astype(np.uint16).tobytes() if encoder.dtype == np.uint16 else own.tobytes()))
-            yield record_batch(schema, {"doc_id": batch.column(0), "n_tokens": counts + 1, "crc": crcs, "ids": packed})
+            yield record_batch(schema, {"doc_id": batch.column(0), "n_tokens": counts + 1, "crc": crcs, "ids": packed, "tally": [tally, *[None] * (len(counts) - 1)]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, crc long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, crc long, ids binary, tally binary")
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
@@ -155,26 +165,28 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 
 
 def id_counts(table: DataFrame) -> DataFrame:
-    """(id, n) over all documents; each task sums up what it reads before the shuffle."""
+    """(id, n) over all documents, from the tallies; each task sums up what it reads before the shuffle."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
-        for batch in small_batches(batches, "ids"):
-            own = np.bincount(np.concatenate([_unpacked(p, n) for p, n in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())]))
-            if len(own) < len(counts):
-                own, counts = counts, own
-            own[: len(counts)] += counts
-            counts = own
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                seen, times = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int64).reshape(2, -1)
+                if seen[-1] >= len(counts):
+                    counts = np.concatenate([counts, np.zeros(seen[-1] + 1 - len(counts), np.int64)])
+                counts[seen] += times
         ids = np.flatnonzero(counts)
         if len(ids):
             yield record_batch(schema, {"id": ids, "n": counts[ids]})
 
-    return table.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return table.select("tally").filter("tally is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def encode_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = 1 << 18, stride: int = 256, max_bits: int = MAX_BITS) -> None:
-    """Writes the format described above to the folder `path`."""
+    """Writes the format described above to the folder `path`. stride: an even number."""
+    if max_bits > 16 or stride % 2:
+        raise ValueError("codes of more than 16 bits, or an odd stride")
     spark = docs.sparkSession
     held = work_path(spark, "tokens")
     table = materialize(token_table(docs, tokenizer, end_id), "tokens", held, codec="uncompressed")
@@ -196,7 +208,7 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(parts)
             bits, begins = pack_bits(codes[ids], own_lengths[ids])
-            return record_batch(schema, {"shard": [shard], "block": [block], "start": [start], "n_tokens": [len(ids)], "doc_ids": [doc_ids], "doc_tokens": [doc_tokens], "checkpoints": [begins[::stride]], "bits": [bits]})
+            return record_batch(schema, {"shard": [shard], "block": [block], "start": [start], "n_tokens": [len(ids)], "doc_ids": [doc_ids], "doc_tokens": [doc_tokens], "checkpoints": [begins[:: stride // 2]], "bits": [bits]})
 
         for batch in small_batches(batches, "ids", 1 << 20):
             for doc_id, n, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):

@@ -24,7 +24,7 @@ _ODD = rf"{_SPACE}{{3}}| \n|\x00|{_SPACE}{{2}}$"
 #: Texts with a full stop or comma before a space that follows no letter or digit.
 _ODD_STOP = r"(?:^|[^\pL\pN])[,.][ \n]"
 #: Stretches that a worker keeps; beyond this it forgets all and goes on, which changes no result.
-KEEP = 1_200_000
+KEEP = 1_500_000
 
 
 def default_path(name: str) -> str:
@@ -49,14 +49,17 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 16, self.dtype), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[bytes]) -> None:
         if len(self.index) + len(units) > self.keep:
             self._forget()
-        spaced = units if self.drops_space else [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else " " + u for u in units]
+        if self.drops_space:
+            spaced = [u.decode() for u in units]
+        else:
+            spaced = [(u[1:] if u[:1] == b"\0" else u if u[:1] == b"\n" else b" " + u).decode() for u in units]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.index), int(lengths.sum())
@@ -98,7 +101,7 @@ class Encoder:
                 texts = pc.if_else(odd, "", texts)
         units, n_units = self._stretches(texts)
         coded = units.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         slots = list(map(self.index.get, words))
         missing = [i for i, s in enumerate(slots) if s is None]
         if missing:
