@@ -304,7 +304,7 @@ def anneal_ensemble(spark: SparkSession, d: str) -> DataFrame:
 # --- geometry -----------------------------------------------------------------------------------------------------
 
 
-@query(duck(f"SELECT unit_id, round({X.WEST} + {X.STEP_LON} * gx, 6) AS min_x, round({X.WEST} + {X.STEP_LON} * (gx + 1), 6) AS max_x, round({X.SOUTH} + {X.STEP_LAT} * gy, 6) AS min_y, round({X.SOUTH} + {X.STEP_LAT} * (gy + 1), 6) AS max_y FROM grid", "grid"))
+@query(duck(f"SELECT unit_id, round(CAST({X.WEST} + {X.STEP_LON} * gx AS DOUBLE), 6) AS min_x, round(CAST({X.WEST} + {X.STEP_LON} * (gx + 1) AS DOUBLE), 6) AS max_x, round(CAST({X.SOUTH} + {X.STEP_LAT} * gy AS DOUBLE), 6) AS min_y, round(CAST({X.SOUTH} + {X.STEP_LAT} * (gy + 1) AS DOUBLE), 6) AS max_y FROM grid", "grid"))
 def bounds(spark: SparkSession, d: str) -> DataFrame:
     return rounded(geometry.bounds(X.boundaries(spark, d)), 6, "min_x", "max_x", "min_y", "max_y")
 
