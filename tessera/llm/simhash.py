@@ -13,11 +13,13 @@ Only distinct fingerprints take part, so copies cost nothing. Components come fr
 small-star steps, each written to the shared folder.
 
 Two bits are far less than a similarity of 0.8: copies with one word in 50 changed differ in 3 to 11 bits, and masks for so
-many can't be afforded. So `dedup` goes on, after the classes above, with `near_copies`: texts are cut into parts at
-places that their words choose (local minima of a hash of two words), and of the texts that share a part each is held
-against one, the text with the largest share of shared parts, which in a group of altered copies is the one they come
-from. Pairs that share `LEAST_SHARED` of their words are verified on whole texts: a Jaccard similarity of 5-word shingles
-of `SIMILAR` or more links them. Each text has one partner a part at most, so the work is linear however large a group is.
+many can't be afforded. So `dedup` also links, by `near_copies`, the first texts of the classes whose Jaccard similarity of 5-word
+shingles is `SIMILAR` or more. Shingles are put in an order, rare ones first. Two such texts share one of the first
+n - ceil(0.8 n) + 1 of their n shingles each, so the texts that meet there are candidates, and those whose places in the
+order leave room for enough shared shingles are verified on whole texts. Of a shingle that many texts have, a few are held
+against all others, then, in rounds, four times as many each time, until what is left lies in one component: only pairs
+that are linked already, directly or not, are left out. So no pair at 0.8 is lost but by colliding 64-bit hashes. Work is
+linear for copies of one text, and the number of pairs for texts that share rare shingles and are not copies.
 
 Defined results: a null text is an empty one; its fingerprint is zero, linked like any other. Texts of one or two words
 have one shingle. A component's id is its smallest doc_id; null doc_ids are ignored in it, and it is null if all are.
@@ -32,16 +34,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, record_batch, small_batches, work_path
 from .words import WHITE_SPACE_LOWER, Words, annotate
 
 SHINGLE, SEED, BITS = 3, 42, 64
-#: Words to either side of a cut that can't have another; words in a verified shingle.
-REACH, COPY_SHINGLE = 8, 5
-LEAST_SHARED, SIMILAR = 0.3, 0.8
+#: Words in a verified shingle; a pair at this similarity is linked; bounds are taken so much wider than they round.
+COPY_SHINGLE, SIMILAR, SLACK = 5, 0.8, 1e-6
+#: Texts, about, from which common shingles are known, and how many of these are kept; only an order depends on them.
+ORDER_SAMPLE, MOST_ORDERED = 10_000, 100_000
+#: Texts of a shingle that are held against all others in the first round; four times as many in each next one.
+FIRST_HUBS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _VECTORS = [1 + i % 7 for i in range(BITS)]
 #: Mask v - 1: the bits that table v keeps.
@@ -144,47 +149,69 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, words) of each part, and the words of each text."""
+def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct 5-word shingles of each text; a shorter text is one, an empty one has none."""
     words = Words(texts, WHITE_SPACE_LOWER)
-    n = len(words.word)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), words.lengths
     listed = words.listed()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in listed), np.uint64, len(listed))[words.word]
-    pair = _mixed(hashes)
-    pair[1:] ^= hashes[:-1] * _ODD
-    pair = _mixed(pair)
-    inner = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(REACH, np.uint64), pair, np.zeros(REACH, np.uint64)]), 2 * REACH + 1)
-    cut = np.empty(n, bool)
-    for i in range(0, n, 1 << 18):
-        cut[i : i + (1 << 18)] = inner[i : i + (1 << 18)].min(axis=1) == pair[i : i + (1 << 18)]
-    # a cut so near a text's ends depends on its neighbours in the table, and is none
-    at = np.arange(n) - words.begins[words.doc]
-    cut &= (at > REACH) & (at < words.lengths[words.doc] - REACH)
-    cut[words.begins[words.lengths > 0]] = True
-    starts = np.flatnonzero(cut)
-    length = np.diff(np.append(starts, n))
-    place = np.arange(n) - np.repeat(starts, length)
-    powers = np.cumprod(np.full(int(length.max()), _ODD, np.uint64))
-    return words.doc[starts], np.add.reduceat(_mixed(hashes) * powers[place], starts), length, words.lengths
-
-
-def _part_table(texts: DataFrame) -> DataFrame:
-    """texts: (id, text). (id, n_words, part, words), a part that a text has twice as one row."""
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("part", pa.int64()), ("words", pa.int64())])
+    starts, doc = words.windows(COPY_SHINGLE)
+    found = np.zeros(len(starts), np.uint64)
+    for i in range(COPY_SHINGLE):
+        found = found * _ODD + hashes[starts + i]
+    short = np.flatnonzero((words.lengths > 0) & (words.lengths < COPY_SHINGLE))
+    whole = np.zeros(len(short), np.uint64)
+    for i in range(COPY_SHINGLE - 1):
+        held = words.lengths[short] > i
+        whole[held] = whole[held] * _ODD + hashes[words.begins[short[held]] + i]
+    found = _mixed(np.concatenate([found, whole + words.lengths[short].astype(np.uint64)]))
+    doc = np.concatenate([doc, short])
+    order = np.lexsort((found, doc))
+    doc, found = doc[order], found[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+    return doc[first], found[first]
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles in order and how often a sample of texts has each. They only order shingles: any order
+    gives the same pairs, and this one makes few candidates."""
+    share = ORDER_SAMPLE / max(1, texts.count())
+    point = F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    schema = pa.schema([("shingle", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            doc, part, length, n_words = parts(batch.column(1))
-            order = np.lexsort((part, doc))
-            doc, part, length = doc[order], part[order], length[order]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            held = np.add.reduceat(length, first) if len(first) else length
-            ids = batch.column(0).to_numpy()
-            yield record_batch(schema, {"id": ids[doc[first]], "n_words": n_words[doc[first]], "part": part[first].view(np.int64), "words": held})
+            yield record_batch(schema, {"shingle": shingle_hashes(batch.column(0))[1].view(np.int64)})
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n_words long, part long, words long")
+    counted = texts.filter(point < share).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    rows = counted.filter("n > 2").orderBy(F.desc("n"), "shingle").limit(MOST_ORDERED).collect()
+    hashes, n = np.array([r.shingle for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """texts: (id, text). (id, n, place, shingle): the rarest of the n shingles of each text, as many as two texts at
+    `SIMILAR` can't both lack, and the place of each in the order."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("shingle", pa.int64())])
+    known, times = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            doc, found = shingle_hashes(batch.column(1))
+            often = np.zeros(len(found), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                often = np.where(known[at] == found, times[at], 0)
+            order = np.lexsort((found, often, doc))
+            doc, found = doc[order], found[order]
+            n = np.bincount(doc, minlength=batch.num_rows)
+            place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+            held = place <= n[doc] - np.ceil(SIMILAR * n[doc] - SLACK)
+            doc = doc[held]
+            yield record_batch(schema, {"id": batch.column(0).to_numpy()[doc], "n": n[doc].astype(np.int32), "place": place[held].astype(np.int32), "shingle": found[held].view(np.int64)})
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n int, place int, shingle long")
 
 
 def similarity(a: str, b: str) -> float:
@@ -199,33 +226,62 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
-    """texts: (id, text), ids unique. (a, b) of verified near copies."""
-    spark = texts.sparkSession
-    work = work_path(spark, "near")
-    found = materialize(_part_table(texts), "", f"{work}/parts")
-    # what is joined by a key that may be hot is written first: Spark splits large partitions of a join, but not of a
-    # join with sums by the same key
-    shared = materialize(found.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part"), "", f"{work}/keys")
-    found = materialize(found.join(shared, "part"), "", f"{work}/shared")
-    drop_path(spark, f"{work}/parts")
-    share = found.groupBy("id").agg((F.sum("words") / F.first("n_words")).alias("share"))
-    ranked = found.join(share, "id")
-    partner = ranked.groupBy("part").agg(F.max(F.struct("share", (-F.col("id")).alias("m"), "n_words")).alias("best"))
-    partner = materialize(partner.select("part", (-F.col("best.m")).alias("b"), F.col("best.n_words").alias("b_words")), "", f"{work}/partners")
-    pairs = found.join(partner, "part").filter("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.sum("words").alias("words"), F.greatest(F.first("n_words"), F.first("b_words")).alias("most"))
-    pairs = materialize(pairs.filter(F.col("words") >= LEAST_SHARED * F.col("most")).select("a", "b"), "", f"{work}/pairs")
-    drop_path(spark, f"{work}/shared")
-    drop_path(spark, f"{work}/partners")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similar) of each of `pairs` (a, b), by whole texts."""
     held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            rows = [(a, b) for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))) if similarity(x or "", y or "") >= SIMILAR]
-            yield record_batch(schema, {"a": [a for a, _ in rows], "b": [b for _, b in rows]})
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+            yield record_batch(schema, {"a": a, "b": b, "similar": [similarity(s or "", t or "") >= SIMILAR for s, t in zip(x, y)]})
 
-    return materialize(held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long"), "copies")
+    return held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long, similar boolean")
+
+
+def near_copies(texts: DataFrame) -> DataFrame:
+    """texts: (id, text), ids unique. (a, b) of verified near copies, whose components are those of all pairs at
+    `SIMILAR` or more."""
+    spark = texts.sparkSession
+    work = work_path(spark, "near")
+    # a text that shares none of its rarest shingles goes no further
+    found = _prefixes(texts, _common(texts)).withColumn("among", F.count("*").over(Window.partitionBy("shingle")))
+    shared = materialize(found.filter("among > 1").drop("among"), "", f"{work}/shared")
+    share = shared.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
+    rows = materialize(shared.join(share, "id").withColumn("root", F.col("id")), "", f"{work}/rows-0")
+    drop_path(spark, f"{work}/shared")
+    checked, hubs, turn = None, FIRST_HUBS, 0
+    while True:
+        # the texts of the smaller classes first, then those that share most, are held against all others of a shingle
+        sized = rows.withColumn("held", F.count("*").over(Window.partitionBy("shingle", "root")))
+        ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy("held", F.desc("share"), "id")))
+        rest = materialize(ranked.drop("held"), "", f"{work}/ranked-{turn}")
+        drop_path(spark, f"{work}/rows-{turn}")
+        hub = rest.filter(F.col("rank") <= hubs).select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "place", "root", "rank")))
+        # shingles that two texts at SIMILAR share at least; all of them are at or after the first shared one in order
+        least = (F.col("n") + F.col("hub_n")) * (SIMILAR / (1 + SIMILAR)) - SLACK
+        fits = (F.col("root") != F.col("hub_root")) & (F.col("rank") > F.col("hub_rank")) & (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= least) & (F.least("n", "hub_n") >= least)
+        pairs = rest.join(hub, "shingle").filter(fits).select(F.greatest("id", "hub_id").alias("a"), F.least("id", "hub_id").alias("b")).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        now = materialize(_verified(materialize(pairs, "", f"{work}/pairs-{turn}"), texts), "", f"{work}/checked-{turn}")
+        drop_path(spark, f"{work}/pairs-{turn}")
+        checked = now if checked is None else checked.union(now)
+        links = checked.filter("similar").select("a", "b")
+        rest = rest.filter(F.col("rank") > hubs).drop("rank")
+        if rest.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            break
+        turn, hubs = turn + 1, hubs * 4
+        roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "now")
+        rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("now", "id")).drop("now")
+        # what is left of a shingle and lies in one class needs no check
+        classes_of = Window.partitionBy("shingle")
+        rest = rest.withColumn("low", F.min("root").over(classes_of)).withColumn("high", F.max("root").over(classes_of)).filter("low < high").drop("low", "high")
+        rows = materialize(rest, "", f"{work}/rows-{turn}")
+        drop_path(spark, f"{work}/ranked-{turn - 1}")
+        if rows.isEmpty():
+            break
+    return materialize(links, "copies")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -405,6 +405,44 @@ def test_near_copies_are_verified_and_found(spark):
     assert len(pairs) > 30 and sum(root(a) == root(b) for a, b in pairs) >= 0.97 * len(pairs)
 
 
+def some_word(rng):
+    return "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+
+
+def edited(rng, words, n):
+    own = words[:]
+    for i in rng.sample(range(len(own)), n):
+        own[i] = some_word(rng)
+    return own
+
+
+def lost_pairs(spark, rows):
+    """How many pairs there are at 0.8 or more, and those of them that near_copies leaves in different components."""
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in listed(simhash.near_copies(spark.createDataFrame(rows, "id long, text string"))):
+        parent[root(a)] = root(b)
+    pairs = [(i, j) for i, a in rows for j, b in rows if i < j and simhash.similarity(a, b) >= 0.8]
+    return len(pairs), [(i, j) for i, j in pairs if root(i) != root(j)]
+
+
+def test_edits_of_edits_are_linked(spark):
+    rng = random.Random(1)
+    rows = []
+    for g in range(25):
+        words = [some_word(rng) for _ in range(rng.randrange(200, 400))]
+        for c in range(4):
+            rows.append((g * 10 + c, " ".join(words)))
+            words = edited(rng, words, len(words) // 60)
+    n, lost = lost_pairs(spark, rows)
+    assert n >= 75 and not lost
+
+
 def test_op9(spark, docs, docs_dir):
     found = {r.doc_id: r for r in simhash.op9_covering_lsh(spark, docs_dir).collect()}
     prints = {r.doc_id: slow_print(r.text) for r in docs.collect()}
