@@ -443,6 +443,20 @@ def test_edits_of_edits_are_linked(spark):
     assert n >= 75 and not lost
 
 
+def test_copies_made_of_common_passages_and_short_copies_are_linked(spark):
+    rng = random.Random(2)
+    passages = [[some_word(rng) for _ in range(60)] for _ in range(12)]
+    rows = []
+    for g in range(60):
+        words = [w for p in rng.sample(passages, 4) for w in p] + [some_word(rng) for _ in range(60)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(edited(rng, words, 4)))]
+    for g in range(60, 100):
+        words = [some_word(rng) for _ in range(rng.randrange(50, 70))]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(edited(rng, words, 1)))]
+    n, lost = lost_pairs(spark, rows)
+    assert n >= 90 and not lost
+
+
 def test_op9(spark, docs, docs_dir):
     found = {r.doc_id: r for r in simhash.op9_covering_lsh(spark, docs_dir).collect()}
     prints = {r.doc_id: slow_print(r.text) for r in docs.collect()}
