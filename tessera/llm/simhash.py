@@ -13,7 +13,7 @@ Only distinct fingerprints take part, so copies cost nothing. Components come fr
 small-star steps, each written to the shared folder.
 
 Two bits are far less than a similarity of 0.8: copies with one word in 50 changed differ in 3 to 11 bits, and masks for so
-many can't be afforded. So `dedup` also links, by `near_copies`, the first texts of the classes whose Jaccard similarity of 5-word
+many can't be afforded. So `dedup` also links, by `near_copies`, the distinct texts whose Jaccard similarity of 5-word
 shingles is `SIMILAR` or more. Shingles are put in an order, rare ones first. Two such texts share one of the first
 n - ceil(0.8 n) + 1 of their n shingles each, so the texts that meet there are candidates, and those whose places in the
 order leave room for enough shared shingles are verified on whole texts. Of a shingle that many texts have, a few are held
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, materialize, record_batch, small_batches, work_path
-from .words import WHITE_SPACE_LOWER, Words, annotate
+from .words import WHITE_SPACE_LOWER, Words, annotate, translated
 
 SHINGLE, SEED, BITS = 3, 42, 64
 #: Words in a verified shingle; a pair at this similarity is linked; bounds are taken so much wider than they round.
@@ -284,19 +284,29 @@ def near_copies(texts: DataFrame) -> DataFrame:
     return materialize(links, "copies")
 
 
+def text_keys(texts: pa.Array) -> pa.Array:
+    """128 bits of each text's words, of which two texts have the same only if they are equal but for white space and
+    the case of A to Z."""
+    return pa.array([xxhash.xxh3_128_digest(b" ".join(t.split())) for t in translated(texts, WHITE_SPACE_LOWER).to_pylist()], pa.binary())
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of `docs`."""
     spark = docs.sparkSession
-    held = materialize(with_fingerprint(docs, docs.columns).withColumn("id", F.monotonically_increasing_id()), "simhash")
-    fps = held.select(F.col("row.doc_id").alias("doc_id"), "fp", "id")
-    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("id").alias("z"))
-    first = fps.groupBy("fp").agg(F.min(order).alias("first"))
-    stay = materialize(first.join(classes(fps), "fp").groupBy("root").agg(F.min("first").alias("first")), "first")
-    texts = held.select("id", F.col("row.text").alias("text")).join(stay.select(F.col("first.z").alias("id")), "id", "left_semi")
+    print_and_key = lambda: lambda texts: [pa.array(fingerprints(texts).view(np.int64)), text_keys(texts)]
+    held = materialize(annotate(docs, docs.columns, print_and_key, "fp long, key binary").withColumn("id", F.monotonically_increasing_id()), "simhash")
+    order = F.struct(F.col("row.doc_id").isNull().alias("x"), F.col("row.doc_id").alias("y"), F.col("id").alias("z"))
+    # one row for each distinct text stands for it; equal texts have equal fingerprints
+    distinct = materialize(held.groupBy("key").agg(F.min(order).alias("first"), F.first("fp").alias("fp")).select("first", "fp", F.col("first.z").alias("id")), "first")
+    by_fp = materialize(distinct.groupBy("fp").agg(F.min("id").alias("of_fp")), "fingerprints")
+    ends = by_fp.select(F.col("fp").alias("a"), F.col("of_fp").alias("a_id")), by_fp.select(F.col("fp").alias("b"), F.col("of_fp").alias("b_id"))
+    prints = links(by_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    same = distinct.join(by_fp, "fp").filter("id <> of_fp").select(F.col("id").alias("a"), F.col("of_fp").alias("b"))
     path = work_path(spark, "texts")
-    linked = components(near_copies(materialize(texts, "", path))).withColumnRenamed("root", "copy_of")
+    texts = materialize(held.select("id", F.col("row.text").alias("text")).join(distinct.select("id"), "id", "left_semi"), "", path)
+    linked = components(prints.union(same).union(near_copies(texts)))
     drop_path(spark, path)
-    last = stay.join(linked, F.col("first.z") == F.col("node"), "left").groupBy(F.coalesce("copy_of", F.col("first.z"))).agg(F.min("first").alias("first"))
+    last = distinct.join(linked, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id")).agg(F.min("first").alias("first"))
     return held.join(last.select(F.col("first.z").alias("id")), "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 

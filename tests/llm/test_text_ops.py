@@ -457,6 +457,19 @@ def test_copies_made_of_common_passages_and_short_copies_are_linked(spark):
     assert n >= 90 and not lost
 
 
+def test_copies_of_any_text_of_a_class_are_linked(spark):
+    rng = random.Random(5)
+    bits = lambda x, y: (slow_print(x) ^ slow_print(y)).bit_count()
+    while True:
+        first = [some_word(rng) for _ in range(300)]
+        second = edited(rng, first, 3)
+        a, b, d = (" ".join(w) for w in (first, second, edited(rng, second, 6)))
+        if bits(a, b) <= 2 < min(bits(a, d), bits(b, d)) and simhash.similarity(a, d) < 0.8 <= simhash.similarity(b, d):
+            break
+    docs = spark.createDataFrame([(1, a), (2, b), (3, d), (4, b.upper())], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.dedup(docs).collect()] == [1]
+
+
 def test_op9(spark, docs, docs_dir):
     found = {r.doc_id: r for r in simhash.op9_covering_lsh(spark, docs_dir).collect()}
     prints = {r.doc_id: slow_print(r.text) for r in docs.collect()}
