@@ -6,8 +6,9 @@ word's script are no candidates for it. Viterbi finds the labels with the highes
 change; all documents of a chunk advance together, a word a step. A document's language is the one whose spans hold
 most letters, and its score the share of all letters that they hold.
 
-Learning: trigram counts of a bounded sample, at most about `SAMPLE` whole documents of each of the `MOST_LANGUAGES`
-most frequent languages, chosen by a hash of doc_id. The counts are summed by Spark; what reaches the driver is bounded
+Learning: trigram counts of a bounded sample, at most about `SAMPLE` whole documents of each of `MOST_LANGUAGES`
+languages, or fewer of each if there are more languages, chosen by a hash of doc_id. Each language that labels a text is
+learned; more than `ALL_LANGUAGES` raise ValueError. The counts are summed by Spark; what reaches the driver is bounded
 by the sample.
 
 Defined results: `und` with score 0 for a null text, one without letters, or if nothing was learned. A text whose
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import record_batch
 from .words import annotate
 
-SAMPLE, MOST_LANGUAGES = 400, 64
+SAMPLE, MOST_LANGUAGES, ALL_LANGUAGES = 400, 64, 1000
 SWITCH, FLOOR = 14.0, -4.0
 KEEP = 1_000_000
 UNDETERMINED = "und"
@@ -101,12 +102,16 @@ class Letters:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, most: int = MOST_LANGUAGES) -> DataFrame:
-    """About `per_language` whole documents of each of the most frequent languages."""
+    """About `per_language` whole documents of each language, fewer if there are more than `most`; one at least."""
     labelled = docs.filter("lang is not null and text is not null")
-    shares = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
-    shares = shares.select("lang", F.least(F.lit(1.0), F.lit(per_language) / F.col("count")).alias("share"))
     point = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return labelled.join(F.broadcast(shares), "lang").filter(point < F.col("share")).select("text", "lang")
+    shares = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(point).alias("low"))
+    n = shares.count()
+    if n > ALL_LANGUAGES:
+        raise ValueError(f"{n} languages, more than {ALL_LANGUAGES}")
+    each = per_language if n <= most else max(1, per_language * most // n)
+    shares = shares.select("lang", "low", F.least(F.lit(1.0), F.lit(each) / F.col("count")).alias("share"))
+    return labelled.join(F.broadcast(shares), "lang").filter((point < F.col("share")) | (point == F.col("low"))).select("text", "lang")
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE) -> "Model":
@@ -187,7 +192,7 @@ def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, switch: f
     rank[order] = np.arange(n_docs)
     steps = int(lengths.max(initial=0))
     if not steps:
-        return np.empty(0, np.int8)
+        return np.empty(0, np.int16)
     active = n_docs - np.searchsorted(np.sort(lengths), np.arange(steps), side="right")
     offset = np.concatenate([[0], np.cumsum(active)])
     begins = np.cumsum(lengths) - lengths
@@ -195,7 +200,7 @@ def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, switch: f
     place = offset[step_of] + np.repeat(rank, lengths)
     by_step = np.empty(len(word), np.int64)
     by_step[place] = word
-    comes_from = np.empty(len(word), np.int8)  # the best label before, for those that switch
+    comes_from = np.empty(len(word), np.int16)  # the best label before, for those that switch
     switched = np.empty((len(word), width), bool)
     best = scores[by_step[: active[0]]].astype(np.float32)
     final = np.zeros(n_docs, np.int64)
@@ -210,7 +215,7 @@ def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, switch: f
         np.greater(floor[:, None], best, out=switched[a:b])
         best = np.maximum(best, floor[:, None]) + scores[by_step[a:b]]
     final[: len(best)] = best.argmax(axis=1)
-    labels = np.empty(len(word), np.int8)
+    labels = np.empty(len(word), np.int16)
     now = np.zeros(0, np.int64)
     for t in range(steps - 1, -1, -1):
         a, b = offset[t], offset[t + 1]
@@ -223,10 +228,14 @@ def viterbi(scores: np.ndarray, word: np.ndarray, lengths: np.ndarray, switch: f
 
 
 class _Words:
-    """Scores of the distinct words that a worker has met; it forgets all when it has KEEP."""
+    """Scores of the distinct words that a worker has met; it forgets all when it has KEEP, or fewer of many
+    languages."""
 
     def __init__(self, model: Model):
         self.model = model
+        #: What is held at once is less by as much as there are more languages than MOST_LANGUAGES.
+        self.wide = max(1.0, len(model.languages) / MOST_LANGUAGES)
+        self.keep, self.step = int(KEEP / self.wide), int((1 << 14) / self.wide)
         self._forget()
 
     def _forget(self) -> None:
@@ -235,7 +244,7 @@ class _Words:
 
     def rows(self, units: list[str]) -> np.ndarray:
         """The rows of words that are all different."""
-        if len(self.index) + len(units) > KEEP:
+        if len(self.index) + len(units) > self.keep:
             self._forget()
         found = list(map(self.index.get, units))
         missing = [i for i, k in enumerate(found) if k is None]
@@ -244,9 +253,9 @@ class _Words:
             new = [units[i] for i in missing]
             while last > len(self.letters):
                 self.scores, self.letters, self.scored = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.letters, self.scored))
-            for i in range(0, len(new), 1 << 14):
-                at = slice(first + i, min(first + i + (1 << 14), last))
-                self.scores[at], self.letters[at], self.scored[at] = self.model.score(new[i : i + (1 << 14)])
+            for i in range(0, len(new), self.step):
+                at = slice(first + i, min(first + i + self.step, last))
+                self.scores[at], self.letters[at], self.scored[at] = self.model.score(new[i : i + self.step])
             self.index.update(zip(new, range(first, last)))
             for i, k in zip(missing, range(first, last)):
                 found[i] = k
@@ -310,7 +319,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
         return compute
 
-    return annotate(docs, keep or docs.columns, work, "lang_pred string, score double, spans array<struct<lang:string,first_word:long,n_words:long>>", max_bytes=8 << 20)
+    return annotate(docs, keep or docs.columns, work, "lang_pred string, score double, spans array<struct<lang:string,first_word:long,n_words:long>>", max_bytes=int((8 << 20) / max(1.0, len(model.languages) / MOST_LANGUAGES)))
 
 
 def held_out(doc_id: Column) -> Column:

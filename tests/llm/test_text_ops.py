@@ -101,6 +101,18 @@ def test_odd_languages(spark, odd, none, model):
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, empty).collect()} == {("und", 0.0)}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    letters = "abcdefghijkl"
+    names = [x + y for x in letters for y in letters][:140]
+    rows = [(i * 3 + k, f"{n}{n}{n} " * 20, n) for i, n in enumerate(names) for k in range(1 + (i < 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.learn(docs, 2), ["lang"]).collect()
+    assert len({r.lang_pred for r in found}) == 140 and all(r.lang_pred == r.row.lang for r in found)
+    monkeypatch.setattr(langid, "ALL_LANGUAGES", 139)
+    with pytest.raises(ValueError):
+        langid.learn(docs)
+
+
 def test_held_out_accuracy(spark, docs, docs_dir):
     found = {r.doc_id: r for r in langid.op5_viterbi(spark, docs_dir).collect()}
     import zlib
