@@ -2,10 +2,13 @@
 
 Every rolling window of k words of a text is hashed. Hashes that some template has are joined by Spark with that
 template's positions. A hit at word p of the text and word t of the template votes for the diagonal p - t. Votes are
-summed by diagonal; neighbouring diagonals (words added or left out in between) are merged; and a merged span counts if
-it covers enough of the template (`LEAST_COVER`). Templates that are phrases must be covered in full on one
-diagonal, and each such diagonal is one place. Hits carry the words themselves, which the join compares, so a hash that
-collides gives no vote.
+gathered by diagonal, and each diagonal is merged with its neighbours up to `WIDTH` above it (words that the text adds; below
+it, seen from the last, words that it leaves out). So a merged span is at most `WIDTH` words longer than its template, and
+its hits follow one another as in the template but for so many words. A span is verified by the distinct windows of the
+template that it holds, each counted once however often the text repeats it: `LEAST_COVER` of all must be there. Of
+spans of a template that lie less than its length apart, the best stays (ties to the first).
+Templates that are phrases must be covered in full on one diagonal, and each such diagonal is one place. Hits carry the
+words themselves, which the join compares, so a hash that collides gives no vote.
 
 Windows that no template has can't join; tasks leave them out before the shuffle by the same hashes, which are as many
 as the templates have words.
@@ -52,7 +55,7 @@ NOTICES = {
 
 PHRASE_K, NOTICE_K = 2, 3
 #: Diagonals up to so many words apart are merged; a merged span must cover this share of the notice.
-NEIGHBOURS, LEAST_COVER = 4, 0.8
+WIDTH, LEAST_COVER = 8, 0.8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,30 +122,31 @@ def hits(docs: DataFrame, rows: list[tuple]) -> DataFrame:
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """One row for each row of `docs`: (row, doc_id, n_words, spans), spans being an array of (label, is_phrase, first,
-    last, cover), first and last being words of the text."""
+    last, cover), first and last being the span's first and last words in the text."""
     spark = docs.sparkSession
     rows = templates(phrases, notices)
     table = spark.createDataFrame(rows, "template int, label string, is_phrase boolean, n_grams int, at int, hash long, words string")
     found = hits(docs, rows).join(F.broadcast(table), ["hash", "words"], "left")
-    # votes by diagonal; a row without votes stays as one with a null template
-    votes = (
-        found.filter("position is null or template is not null").withColumn("diagonal", F.col("position") - F.col("at"))
-        .groupBy("row", "template", "diagonal")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("is_phrase").alias("is_phrase"), F.first("n_grams").alias("n_grams"),
-             F.min("position").alias("first"), F.max("position").alias("last"), F.count("at").alias("n"))
-    )
-    full = votes.filter("template is null or not is_phrase or n = n_grams")
-    # chains of neighbouring diagonals whose places follow one another
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    parted = F.col("is_phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS)
-    chained = full.withColumn("parted", F.coalesce(parted, F.lit(True)).cast("int"))
-    chained = chained.withColumn("chain", F.sum("parted").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = chained.groupBy("row", "template", "chain").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("is_phrase").alias("is_phrase"),
-        F.min("first").alias("first"), F.max("last").alias("last"), F.least(F.lit(1.0), F.sum("n") / F.first("n_grams")).alias("cover"),
-    )
-    good = F.when(F.col("template").isNotNull() & (F.col("is_phrase") | (F.col("cover") >= LEAST_COVER)), F.struct("label", "is_phrase", "first", "last", "cover"))
-    return spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list(good).alias("spans"))
+    found = found.filter("position is null or template is not null")
+    same = ["label", "is_phrase", "n_grams"]
+    # votes by diagonal; at most as many as the template has windows
+    votes = found.filter("position is not null").withColumn("diagonal", F.col("position") - F.col("at")).groupBy("row", "template", "diagonal")
+    votes = votes.agg(*(F.first(c).alias(c) for c in same), F.min("position").alias("first"), F.max("position").alias("last"), F.collect_set("at").alias("ats"))
+    phrase = F.struct("label", "is_phrase", "first", (F.col("last") + PHRASE_K - 1).alias("last"), F.lit(1.0).alias("cover"))
+    places = votes.filter(F.col("is_phrase") & (F.size("ats") == F.col("n_grams"))).select("row", phrase.alias("span"))
+    # neighbouring diagonals in one, then the best among those that overlap
+    merged = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, WIDTH)
+    spans = votes.filter("not is_phrase").select("*", F.array_distinct(F.flatten(F.collect_list("ats").over(merged))).alias("held"), F.min("first").over(merged).alias("begin"), F.max("last").over(merged).alias("end"))
+    spans = spans.withColumn("cover", F.size("held") / F.col("n_grams")).filter(F.col("cover") >= LEAST_COVER)
+    lengths = Window.partitionBy("row", "template").orderBy("lengths").rangeBetween(-1, 1)
+    spans = spans.withColumn("lengths", F.col("diagonal") / F.col("n_grams")).withColumn("best", F.max(F.struct("cover", -F.col("diagonal"))).over(lengths))
+    notice = F.struct("label", "is_phrase", F.col("begin").alias("first"), (F.col("end") + NOTICE_K - 1).alias("last"), "cover")
+    notices = spans.filter((F.col("cover") == F.col("best.cover")) & (F.col("diagonal") == -F.col("best.col2"))).select("row", notice.alias("span"))
+    # a row of the table stays without spans
+    rows = found.filter("position is null").select("row", "doc_id", "n_words", F.lit(None).cast(places.schema["span"].dataType).alias("span"))
+    every = rows.unionByName(places.unionByName(notices), allowMissingColumns=True)
+    # n_words is set in the one row that stands for the text
+    return every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("span").alias("spans"))
 
 
 def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,17 +166,16 @@ WITH templates(template, label, is_phrase, n_grams, place, k, gram) AS (VALUES {
 docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM docs),
 grams AS (SELECT r, i, w || ' ' || lead(w) OVER o AS g2, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g3 FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
-votes AS (
-  SELECT r, template, any_value(label) AS label, any_value(is_phrase) AS is_phrase, any_value(n_grams) AS n_grams, i - place AS diagonal, min(i) AS first_word, max(i) AS last_word, count(*) AS n
-  FROM grams JOIN templates ON gram = CASE WHEN k = {PHRASE_K} THEN g2 ELSE g3 END GROUP BY r, template, i - place),
-parted AS (
-  SELECT *, CASE WHEN is_phrase OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {NEIGHBOURS}, true) THEN 1 ELSE 0 END AS begins
-  FROM votes WHERE NOT is_phrase OR n = n_grams),
-chained AS (SELECT *, sum(begins) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS chain FROM parted),
-spans AS (
-  SELECT r, any_value(label) AS label, any_value(is_phrase) AS is_phrase, min(first_word) AS first_word, least(1.0, CAST(sum(n) AS DOUBLE) / any_value(n_grams)) AS cover
-  FROM chained GROUP BY r, template, chain),
-good AS (SELECT * FROM spans WHERE is_phrase OR cover >= {LEAST_COVER}),
+hits AS (
+  SELECT r, template, label, is_phrase, n_grams, place, i, i - place AS diagonal
+  FROM grams JOIN templates ON gram = CASE WHEN k = {PHRASE_K} THEN g2 ELSE g3 END),
+diagonals AS (SELECT r, template, any_value(label) AS label, any_value(is_phrase) AS is_phrase, any_value(n_grams) AS n_grams, diagonal, min(i) AS first_word, count(DISTINCT place) AS n FROM hits GROUP BY r, template, diagonal),
+good AS (
+  SELECT r, label, is_phrase, first_word, 1.0::DOUBLE AS cover FROM diagonals WHERE is_phrase AND n = n_grams
+  UNION ALL
+  SELECT d.r, any_value(d.label), false, min(h.i), CAST(count(DISTINCT h.place) AS DOUBLE) / any_value(d.n_grams) AS cover
+  FROM diagonals d JOIN hits h ON h.r = d.r AND h.template = d.template AND h.diagonal BETWEEN d.diagonal AND d.diagonal + {WIDTH}
+  WHERE NOT d.is_phrase GROUP BY d.r, d.template, d.diagonal HAVING count(DISTINCT h.place) >= {LEAST_COVER}::DOUBLE * any_value(d.n_grams)),
 found AS (
   SELECT r, count(*) FILTER (WHERE is_phrase) AS n_base, min(first_word) FILTER (WHERE is_phrase) AS first_word, max(first_word) FILTER (WHERE is_phrase) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
