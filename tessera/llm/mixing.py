@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, work_path
 from .sharding import HASH_BITS, row_hash
 
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -30,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Slots that a mix has at least, if it has so many words; words of a block at most.
 SLOTS, BLOCK = 1 << 16, 1 << 16
 GOLDEN, POINT_BITS = 2654435769, 32
+#: The line of points is cut into cells of so many bits; a point looks at its cell's sources only.
+CELL_BITS = 12
 #: Sources of a mix at most; their table is collected and sent to all tasks.
 MOST_SOURCES = 100_000
 
@@ -88,10 +90,14 @@ class Mix:
             edges.append(int(cumulated / self.total * (1 << POINT_BITS)) if self.total else 0)
         if edges:
             edges[-1] = 1 << POINT_BITS
+        # each source's stretch of points, once for each cell of the line that it meets
+        shift = POINT_BITS - CELL_BITS
+        stretches = [(k, low, high, cell) for k, (low, high) in enumerate(zip([0, *edges], edges)) for cell in (range(low >> shift, (high - 1 >> shift) + 1) if high > low else ())]
+        stretches = F.broadcast(self.spark.createDataFrame(stretches, "k int, low long, high long, cell long"))
         # multiplied in two halves, which stay within a long for any slot
         point = F.expr(f"((id & 4294967295L) * {GOLDEN}L) & {(1 << POINT_BITS) - 1}L")
-        passed = F.filter(F.array(*(F.lit(e) for e in edges[:-1])).cast("array<long>"), lambda e: e <= F.col("point")) if len(edges) > 1 else F.array()
-        slots = self.spark.range(n).withColumn("point", point).select(F.col("id").alias("slot"), F.size(passed).alias("k"), F.expr(f"shiftright(id, {range_bits})").alias("range"))
+        slots = self.spark.range(n).withColumn("point", point).withColumn("cell", F.expr(f"shiftright(point, {shift})"))
+        slots = slots.join(stretches, "cell").filter("low <= point and point < high").select(F.col("id").alias("slot"), "k", F.expr(f"shiftright(id, {range_bits})").alias("range"))
         base = slots.groupBy("k", "range").count()
         base = base.select("k", "range", (F.sum("count").over(Window.partitionBy("k").orderBy("range")) - F.col("count")).alias("base"))
         ranked = slots.withColumn("rank", F.row_number().over(Window.partitionBy("k", "range").orderBy("slot")) - 1).join(base, ["k", "range"])
@@ -123,14 +129,16 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents in the order of the schedule, each as often as it is taken up, with the columns of `docs`. A
-    document belongs to the block in which it starts."""
-    if "mix_row" in docs.columns:
-        raise ValueError("the name mix_row is taken")
-    held = materialize(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix")
-    order = Mix(materialize(_rows(held, F.col("mix_row")), "sizes")).order().select(F.col("row").alias("mix_row"), F.col("slot").alias("mix_slot"), F.col("at").alias("mix_at"))
-    found = held.join(materialize(order, "order"), "mix_row")
-    return found.repartitionByRange(partitions(docs.sparkSession), "mix_slot", "mix_at").sortWithinPartitions("mix_slot", "mix_at").select(docs.columns)
+    """The documents in the order of the schedule, each as often as it is taken up, with the columns of `docs`, whatever
+    their names. A document belongs to the block in which it starts, so what a source gives differs from its target by
+    less than a document at each end of a block."""
+    spark = docs.sparkSession
+    paths = [work_path(spark, "mix") for _ in range(3)]
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("id"))
+    held = materialize(held, "", paths[0])
+    order = Mix(materialize(_rows(held.select("id", "row.doc_id", "row.text", "row.source"), F.col("id")), "", paths[1])).order()
+    found = held.join(materialize(order.withColumnRenamed("row", "id"), "", paths[2]), "id")
+    return found.repartitionByRange(partitions(spark), "slot", "at").sortWithinPartitions("slot", "at").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op7_golden_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
