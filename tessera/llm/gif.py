@@ -1,14 +1,18 @@
 """GIF as a media column: an LZW code stream decoder and writer, palettes, disposal, transparency and timed frames.
 
-`encode_payload` stores bytes losslessly as 8-bit samples of an animated GIF, 64 samples a row, through a grey palette
-whose entry i is the colour (i, i, i). `decode` reads any GIF87a or GIF89a: it follows sub-blocks, decodes LZW streams
+`encode_payload` stores bytes losslessly as 8-bit samples of an animated GIF, 64 samples a row, through a palette whose
+entry i has the first three bits of i as its red, the next three as its green and the last two as its blue, so each of the
+64 bins of a colour histogram counts four byte values, and what a frame shows tells its samples. `decode` reads any GIF87a or GIF89a: it follows sub-blocks, decodes LZW streams
 of 2 to 8 bits with clear codes at any place (or a full table that is kept on), undoes interlacing, applies the local or
 global palette, transparency and the disposal of the frame before, and gives each frame as the canvas to show, with its
-delay. `frame_table` turns a column of GIFs into one row for each frame with colour-histogram columns.
+delay. `frame_table` turns a column of GIFs into one row for each frame with colour-histogram columns; `op2_gif` stores the
+frames of each document beside its digests, and returns the digests.
 
 Defined results: a null text is an empty one. A payload is padded with zeros to a positive multiple of 64 bytes. Null and
 repeated doc_ids are kept as they are; equal texts give equal bytes and features. Broken or null media give no frames
-in `frame_table` but one row with `error` set. Columns besides the ones named are not read.
+in `frame_table` but one row with `error` set, and so do media whose canvas has more than `MOST_PIXELS`, or whose frames
+have more than `MOST_DRAWN` in all, before any is drawn; codes beyond a frame's last sample are not read. A very long text
+makes more frames of the same size. An empty table gives no rows. Columns besides the ones named are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, record_batch, small_batches
 
@@ -34,6 +39,8 @@ FRAME_ROWS = 512
 KEEP, BACKGROUND, PREVIOUS = 1, 2, 3
 _CHANNEL_BINS = 4
 _FULL = 4096
+#: Pixels of a canvas, and of all frames of a GIF together, that are drawn at most.
+MOST_PIXELS, MOST_DRAWN = 1 << 24, 1 << 31
 
 
 # --- LZW ----------------------------------------------------------------------------------------------------------
@@ -102,8 +109,9 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     return _pack(np.array(put_end, np.int64), widths)
 
 
-def lzw_decode(stream: bytes, bits: int) -> bytes:
-    """The samples of a code stream, up to its end code or its last whole code."""
+def lzw_decode(stream: bytes, bits: int, most: int = 1 << 62) -> bytes:
+    """The samples of a code stream, up to its end code, its last whole code, or `most` samples and at most 4096 codes
+    more."""
     clear, end = 1 << bits, (1 << bits) + 1
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
@@ -113,7 +121,11 @@ def lzw_decode(stream: bytes, bits: int) -> bytes:
     out: list[bytes] = []
     put = out.append
     at, done, table, before = 0, 0, list(base), b""  # done: codes since the last clear code
+    size = counted = 0
     while True:
+        size, counted = size + sum(map(len, out[counted:])), len(out)
+        if size >= most:
+            break
         if done + 4096 > len(plan):
             plan = np.concatenate([plan, np.full(len(plan), 12)])
             offsets = np.concatenate([[0], np.cumsum(plan)])
@@ -216,6 +228,8 @@ def decode(data: bytes) -> tuple[tuple[int, int], Iterator[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("a canvas too large to draw")
     return (width, height), _frames(data, width, height, flags, background)
 
 
@@ -230,7 +244,7 @@ def _frames(data: bytes, width: int, height: int, flags: int, background: int) -
     try:
         common, at = _palette(data, 13, flags)
         canvas = np.zeros((height, width, 4), np.uint8)  # nothing is drawn: transparent
-        control = (0, 0, None)
+        control, drawn_pixels = (0, 0, None), 0
         while at < len(data) and data[at] != 0x3B:
             if data[at] == 0x21:
                 label, (body, at) = data[at + 1], _blocks(data, at + 2)
@@ -247,7 +261,10 @@ def _frames(data: bytes, width: int, height: int, flags: int, background: int) -
             stream, at = _blocks(data, at + 1)
             if palette is None or not 2 <= bits <= 8 or left + w > width or top + h > height:
                 raise ValueError("a frame without colours or beyond the canvas")
-            samples = np.frombuffer(lzw_decode(stream, bits).ljust(w * h, b"\0"), np.uint8)[: w * h].reshape(h, w)
+            drawn_pixels += width * height
+            if drawn_pixels > MOST_DRAWN:
+                raise ValueError("too many frames to draw")
+            samples = np.frombuffer(lzw_decode(stream, bits, w * h)[: w * h].ljust(w * h, b"\0"), np.uint8)[: w * h].reshape(h, w)
             if own_flags & 0x40:
                 rows = np.empty_like(samples)
                 rows[_interlaced(h)] = samples
@@ -282,7 +299,8 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
 
 # --- payloads -----------------------------------------------------------------------------------------------------
 
-_GREY = bytes(i for i in range(256) for _ in range(3))
+_RED_STEP, _BLUE_STEP = 36, 85
+_COLOURS = bytes(c for i in range(256) for c in ((i >> 5) * _RED_STEP, (i >> 2 & 7) * _RED_STEP, (i & 3) * _BLUE_STEP))
 
 
 def pad(raw: bytes) -> bytes:
@@ -293,18 +311,20 @@ def encode_payload(payload: bytes, delay_ms: int = 100) -> bytes:
     rows = len(payload) // WIDTH
     step = WIDTH * FRAME_ROWS
     frames = [{"samples": payload[i : i + step], "height": min(step, len(payload) - i) // WIDTH, "delay_ms": delay_ms, "disposal": BACKGROUND} for i in range(0, len(payload), step)]
-    return write(WIDTH, min(rows, FRAME_ROWS), _GREY, frames)
+    return write(WIDTH, min(rows, FRAME_ROWS), _COLOURS, frames)
 
 
-def decode_payload(media: bytes) -> tuple[bytes, np.ndarray, int]:
-    """The samples in the red channel of what each frame shows, the colour histogram of all frames, and their number."""
-    parts, total, n = [], np.zeros(_CHANNEL_BINS**3, np.int64), 0
+def decode_payload(media: bytes) -> tuple[bytes, list[Frame], list[np.ndarray]]:
+    """The samples that the colours of each frame tell, the frames (their canvas let go), and the colour histogram of
+    each."""
+    parts, frames, colours = [], [], []
     for frame in decode(media)[1]:
         area = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width]
-        parts.append(area[:, :, 0].tobytes())
-        total += histogram(area)
-        n += 1
-    return b"".join(parts), total, n
+        parts.append((area[:, :, 0] // _RED_STEP << 5 | area[:, :, 1] // _RED_STEP << 2 | area[:, :, 2] // _BLUE_STEP).tobytes())
+        colours.append(histogram(area))
+        frame.canvas = None
+        frames.append(frame)
+    return b"".join(parts), frames, colours
 
 
 # --- tables -------------------------------------------------------------------------------------------------------
@@ -322,43 +342,59 @@ def media_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _timed(frames: list[Frame]) -> Iterator[tuple[int, Frame]]:
+    at = 0
+    for frame in frames:
+        yield at, frame
+        at += frame.delay_ms
+
+
+_FRAME = [("at_ms", pa.int64()), ("delay_ms", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32())]
+_FRAME_DDL = "at_ms long, delay_ms int, `left` int, top int, width int, height int, disposal int, transparent int"
+
+
 def frame_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row for each frame: its number, when it is shown, its place and rules, and the colour histogram of what is
-    shown. Broken media: one row with the frame number null and `error`."""
-    schema = pa.schema([(key, pa.int64()), ("frame", pa.int32()), ("at_ms", pa.int64()), ("delay_ms", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+    """One row for each frame: the medium's key, of any type, the frame's number, when it is shown, its place and rules, and
+    the colour histogram of what is shown. Broken media: one row with the frame number null and `error`."""
+    added = pa.schema([("frame", pa.int32()), *_FRAME, ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, column):
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, data in enumerate(batch.column(1).to_pylist()):
                 rows, at = [], 0
                 try:
                     for i, f in enumerate(decode(data or b"")[1]):
-                        rows.append((k, i, at, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, histogram(f.canvas).tolist(), None))
+                        rows.append((i, at, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, histogram(f.canvas).tolist(), None))
                         at += f.delay_ms
                 except ValueError as e:
-                    rows = [(k, *[None] * 10, str(e))]
-                yield record_batch(schema, dict(zip(schema.names, zip(*rows))) if rows else {n: [] for n in schema.names})
+                    rows = [(*[None] * 10, str(e))]
+                found = record_batch(added, dict(zip(added.names, zip(*rows))) if rows else {n: [] for n in added.names})
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows), pa.int64())), *found.columns], names=[key, *added.names])
 
-    ddl = f"`{key}` long, frame int, at_ms long, delay_ms int, `left` int, top int, width int, height int, disposal int, transparent int, histogram array<long>, error string"
-    return media.select(F.col(key).cast("long"), F.col(column).cast("binary")).mapInArrow(run, ddl)
+    picked = media.select(F.col(f"`{key}`"), F.col(f"`{column}`").cast("binary"))
+    return picked.mapInArrow(run, T.StructType([picked.schema[0], *T.StructType.fromDDL(f"frame int, {_FRAME_DDL}, histogram array<long>, error string").fields]))
 
 
 def payload_features(media: DataFrame) -> DataFrame:
-    """What `op2_gif` returns, from the stored bytes."""
+    """What `op2_gif` returns, from the stored bytes, and `frames`, the timed frames of each document with their colour
+    histograms. feature: the counts of the 64 colours in all frames."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32())]
-    schema = pa.schema(fields)
+    schema = pa.schema([*fields, ("frames", pa.list_(pa.struct([*_FRAME, ("histogram", pa.list_(pa.int64()))])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "media"):
             rows = []
             for doc_id, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                payload, colours, frames = decode_payload(data)
-                feature = ",".join(map(str, colours[:: _CHANNEL_BINS**2 + _CHANNEL_BINS + 1]))  # the grey bins; others are empty
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, frames))
+                payload, frames, colours = decode_payload(data)
+                feature = ",".join(map(str, sum(colours).tolist()))
+                timed = [{**{name: at if name == "at_ms" else getattr(f, name) for name, _ in _FRAME}, "histogram": c} for (at, f), c in zip(_timed(frames), colours)]
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(frames), timed))
             yield record_batch(schema, dict(zip(schema.names, zip(*rows))))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int")
+    ddl = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, frames array<struct<{_FRAME_DDL.replace(' long', ':long').replace(' int', ':int')}, histogram:array<long>>>"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
 
 
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload_features(materialize(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")), "gif", codec="uncompressed"))
+    media = materialize(media_table(spark.read.parquet(f"{sf_dir}/documents.parquet")), "gif", codec="uncompressed")
+    return materialize(payload_features(media), "frames").drop("frames")
