@@ -134,26 +134,26 @@ def learn(docs: DataFrame, per_language: int = SAMPLE) -> "Model":
             yield record_batch(schema, dict(zip(schema.names, [*zip(*counts), list(counts.values())])))
 
     rows = sample(docs, per_language).mapInArrow(run, "lang string, kind string, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    return Model(rows.collect())  # bounded by the sample
+    return Model(rows.toArrow())  # bounded by the sample
 
 
 class Model:
     """rows: (lang, kind, key, n), the number of documents, of letters by script and of trigrams."""
 
-    def __init__(self, rows: list):
-        sizes = {r.lang: r.n for r in rows if r.kind == "doc"}
+    def __init__(self, rows: pa.Table):
+        lang, kind = (np.array(rows.column(c).to_pylist(), object) for c in ("lang", "kind"))
+        key, n = (rows.column(c).to_numpy() for c in ("key", "n"))
+        of = {name: np.flatnonzero(kind == name) for name in ("doc", "script", "gram")}
+        sizes = dict(zip(lang[of["doc"]].tolist(), n[of["doc"]].tolist()))
         self.languages = sorted(sizes)
         self.common = max(range(len(sizes)), key=lambda k: (sizes[self.languages[k]], -k), default=None)
         at = {x: k for k, x in enumerate(self.languages)}
+        column = np.fromiter(map(at.__getitem__, lang.tolist()), np.int64, len(lang))
         letters = np.zeros((len(_NAMES), len(at)))
-        self.keys = np.array(sorted({r.key for r in rows if r.kind == "gram"}), np.int64)
-        place = {k: i for i, k in enumerate(self.keys.tolist())}
-        counts = np.zeros((len(place) + 1, len(at)))  # the last row: trigrams that were not seen
-        for r in rows:
-            if r.kind == "gram":
-                counts[place[r.key], at[r.lang]] = r.n
-            elif r.kind == "script":
-                letters[r.key, at[r.lang]] = r.n
+        letters[key[of["script"]], column[of["script"]]] = n[of["script"]]
+        self.keys, place = np.unique(key[of["gram"]].astype(np.int64), return_inverse=True)
+        counts = np.zeros((len(self.keys) + 1, len(at)))  # the last row: trigrams that were not seen
+        counts[place, column[of["gram"]]] = n[of["gram"]]
         smoothed = counts + 0.5
         self.logs = np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32)
         #: A language uses a script that holds a hundredth of its letters or more.
