@@ -13,13 +13,16 @@ Only distinct fingerprints take part, so copies cost nothing. Components come fr
 small-star steps, each written to the shared folder.
 
 Two bits are far less than a similarity of 0.8: copies with one word in 50 changed differ in 3 to 11 bits, and masks for so
-many can't be afforded. So `dedup` also links, by `near_copies`, the distinct texts whose Jaccard similarity of 5-word
-shingles is `SIMILAR` or more. Shingles are put in an order, rare ones first. Two such texts share one of the first
-n - ceil(0.8 n) + 1 of their n shingles each, so the texts that meet there are candidates, and those whose places in the
-order leave room for enough shared shingles are verified on whole texts. Of a shingle that many texts have, a few are held
-against all others, then, in rounds, four times as many each time, until what is left lies in one component: only pairs
-that are linked already, directly or not, are left out. So no pair at 0.8 is lost but by colliding 64-bit hashes. Work is
-linear for copies of one text, and the number of pairs for texts that share rare shingles and are not copies.
+many can't be afforded. So `dedup` also links, by `near_copies`, distinct texts that are similar in their 5-word shingles:
+whose Jaccard similarity is `SIMILAR` or more, or of whose words that share or more lies in shared shingles (in both,
+of the longer one's words), since each changed word breaks five shingles but is one word. Shingles are put in an order, rare
+ones first. Two texts at a Jaccard similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles each, so
+the texts that meet there and are about as long are candidates, and are verified on whole texts. Of a shingle that many
+texts have, a few are held against all others, then, in rounds, four times as many each time, until what is left lies in
+one component: only pairs that are linked already, directly or not, are left out. So no pair at a Jaccard similarity of 0.8 is
+lost but by colliding 64-bit hashes. A pair below it whose words are covered is found if one of the rarest fifth of its shingles is shared:
+at a Jaccard similarity of 0.4 and 100 words, all but about one in 10,000. Work is linear for copies of one text, and the
+number of pairs for texts that share rare shingles and are not copies.
 
 Defined results: a null text is an empty one; its fingerprint is zero, linked like any other. Texts of one or two words
 have one shingle. A component's id is its smallest doc_id; null doc_ids are ignored in it, and it is null if all are.
@@ -149,8 +152,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct 5-word shingles of each text; a shorter text is one, an empty one has none."""
+def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct 5-word shingles of each text, a shorter text being one and an empty one having none;
+    and the words of each text."""
     words = Words(texts, WHITE_SPACE_LOWER)
     listed = words.listed()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in listed), np.uint64, len(listed))[words.word]
@@ -169,7 +173,7 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     doc, found = doc[order], found[order]
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
-    return doc[first], found[first]
+    return doc[first], found[first], words.lengths
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -191,14 +195,14 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """texts: (id, text). (id, n, place, shingle): the rarest of the n shingles of each text, as many as two texts at
-    `SIMILAR` can't both lack, and the place of each in the order."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("shingle", pa.int64())])
+    """texts: (id, text). (id, n, words, place, shingle): the rarest of the n shingles of each text, as many as two texts
+    whose Jaccard similarity is `SIMILAR` can't both lack, and the place of each in the order."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("words", pa.int32()), ("place", pa.int32()), ("shingle", pa.int64())])
     known, times = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            doc, found = shingle_hashes(batch.column(1))
+            doc, found, n_words = shingle_hashes(batch.column(1))
             often = np.zeros(len(found), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -209,21 +213,33 @@ def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFr
             place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
             held = place <= n[doc] - np.ceil(SIMILAR * n[doc] - SLACK)
             doc = doc[held]
-            yield record_batch(schema, {"id": batch.column(0).to_numpy()[doc], "n": n[doc].astype(np.int32), "place": place[held].astype(np.int32), "shingle": found[held].view(np.int64)})
+            yield record_batch(schema, {"id": batch.column(0).to_numpy()[doc], "n": n[doc].astype(np.int32), "words": n_words[doc].astype(np.int32), "place": place[held].astype(np.int32), "shingle": found[held].view(np.int64)})
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n int, place int, shingle long")
+    return texts.select("id", "text").mapInArrow(run, "id long, n int, words int, place int, shingle long")
 
 
 def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the sets of 5-word shingles; of whole texts, if they are shorter."""
+    """The greater of two: the Jaccard similarity of the sets of 5-word shingles (of whole texts, if they are shorter), and
+    the words that lie in shared shingles, in the text that has less of them, as a share of the longer text's words."""
 
-    def shingles(text: str) -> set[tuple[bytes, ...]]:
-        words = text.encode().translate(WHITE_SPACE_LOWER).split(b" ")
-        words = [w for w in words if w]
-        return {tuple(words[i : i + COPY_SHINGLE]) for i in range(max(1, len(words) - COPY_SHINGLE + 1))}
+    def words(text: str) -> list[bytes]:
+        return [w for w in text.encode().translate(WHITE_SPACE_LOWER).split(b" ") if w]
 
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
+    def covered(shingles: list[tuple[bytes, ...]], shared: set[tuple[bytes, ...]]) -> int:
+        total = end = 0
+        for i, x in enumerate(shingles):
+            if x in shared:
+                total, end = total + i + COPY_SHINGLE - max(i, end), i + COPY_SHINGLE
+        return total
+
+    x, y = words(a), words(b)
+    longest = max(len(x), len(y))
+    if min(len(x), len(y)) < COPY_SHINGLE:
+        return float(x == y)
+    x, y = (list(zip(*(w[i:] for i in range(COPY_SHINGLE)))) for w in (x, y))
+    p, q = set(x), set(y)
+    shared = p & q
+    return max(len(shared) / (len(p) + len(q) - len(shared)), min(covered(x, shared), covered(y, shared)) / longest)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,10 +273,12 @@ def near_copies(texts: DataFrame) -> DataFrame:
         ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy("held", F.desc("share"), "id")))
         rest = materialize(ranked.drop("held"), "", f"{work}/ranked-{turn}")
         drop_path(spark, f"{work}/rows-{turn}")
-        hub = rest.filter(F.col("rank") <= hubs).select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "place", "root", "rank")))
+        hub = rest.filter(F.col("rank") <= hubs).select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root", "rank")))
         # shingles that two texts at SIMILAR share at least; all of them are at or after the first shared one in order
         least = (F.col("n") + F.col("hub_n")) * (SIMILAR / (1 + SIMILAR)) - SLACK
-        fits = (F.col("root") != F.col("hub_root")) & (F.col("rank") > F.col("hub_rank")) & (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= least) & (F.least("n", "hub_n") >= least)
+        jaccard = (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= least) & (F.least("n", "hub_n") >= least)
+        covered = F.least("words", "hub_words") >= F.greatest("words", "hub_words") * SIMILAR - SLACK
+        fits = (F.col("root") != F.col("hub_root")) & (F.col("rank") > F.col("hub_rank")) & (jaccard | covered)
         pairs = rest.join(hub, "shingle").filter(fits).select(F.greatest("id", "hub_id").alias("a"), F.least("id", "hub_id").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
