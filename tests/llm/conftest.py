@@ -23,7 +23,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(TEXTS, SCHEMA).repartition(3)
-    names = ["row", "n_chars", "size", "hash", "fp", "kept", "lang_pred", "score", "host", "n_words", "shard_bytes", "position", "block", "k"]
+    names = ["row", "n_chars", "size", "hash", "fp", "kept", "lang_pred", "score", "host", "n_words", "shard_bytes", "position", "block", "k", "id", "slot", "at", "mix_row", "mix_slot", "mix_at", "shard", "shard_hash", "shard_", "cell", "template", "url", "page_id", "media", "frame", "words", "root"]
     return df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
 
 

@@ -254,11 +254,43 @@ def test_media_of_odd_texts(spark, odd, none):
     assert Counter(r[:5] for r in found) == wanted
     by_payload = defaultdict(set)
     for r in found:
-        by_payload[r[3]].add(r[5:])
+        by_payload[r[3]].add(str(r[5:]))
     assert all(len(v) == 1 for v in by_payload.values())
     assert listed(gif.payload_features(gif.media_table(none))) == []
 
 
+def test_frames_tell_their_samples_by_colour(spark):
+    data = bytes(range(256)) * 700
+    payload, frames, colours = gif.decode_payload(gif.encode_payload(gif.pad(data)))
+    assert payload == data and len(frames) == len(colours) == 6
+    # each of the 64 colours counts four byte values
+    assert sum(colours).tolist() == [4 * 700] * 64
+    one = gif.decode_payload(gif.encode_payload(gif.pad(b"\xff" * 64)))[2][0]
+    assert one[63] == 64 and one.sum() == 64
+
+
+def test_frames_are_stored_beside_the_digests(spark, docs, docs_dir):
+    found = gif.payload_features(gif.media_table(docs)).collect()
+    assert len(found) == docs.count()
+    for r in found:
+        assert len(r.frames) == r.n_frames and [f.at_ms for f in r.frames] == [100 * i for i in range(r.n_frames)]
+        assert sum(sum(f.histogram) for f in r.frames) == r.payload_bytes == sum(f.width * f.height for f in r.frames)
+        assert [sum(c) for c in zip(*(f.histogram for f in r.frames))] == [int(x) for x in r.feature.split(",")]
+
+
+def test_media_that_claim_too_much_are_errors(spark, monkeypatch):
+    small = gif.write(1, 1, bytes(6), [{"samples": b"\0"}])
+    huge = small[:6] + b"\xff\xff\xff\xff" + small[10:]
+    codes = gif.write(1, 1, bytes(768), [{"samples": bytes(3_000_000)}])  # codes for millions of samples, a frame of one
+    df = spark.createDataFrame([("a", bytearray(huge), 1), ("b", bytearray(codes), 2), ("c", bytearray(small), 3)], "doc_id string, media binary, frame int")
+    found = {r.doc_id: r for r in gif.frame_table(df).collect()}
+    assert "canvas" in found["a"].error and found["b"].error is None and sum(found["b"].histogram) == 1 and found["c"].frame == 0
+    assert len(gif.lzw_decode(gif.lzw_encode(bytes(3_000_000)), 8, 1)) < 1 << 24
+    monkeypatch.setattr(gif, "MOST_DRAWN", 2)
+    with pytest.raises(ValueError, match="frames"):
+        list(gif.decode(gif.write(1, 1, bytes(6), [{"samples": b"\0"}] * 3))[1])
+
+
 def test_op2(spark, docs, docs_dir):
     texts = {r.doc_id: r.text.encode() for r in docs.collect()}
     for r in gif.op2_gif(spark, docs_dir).collect():
@@ -295,9 +327,28 @@ def test_shards_of_odd_rows(spark, odd, none, tmp_path):
     assert len(found) == len(TEXTS) and {r[0] for r in found if r[6]} == {4, 5}
     assert len({r[3] for r in found if r[0] is None}) == 1
     assert listed(sharding.assign(none, 100)) == [] and {r[3] for r in listed(sharding.assign(odd, 1 << 40))} == {""}
-    sharding.write_shards(odd, f"file://{tmp_path}/s", 100)
+    name = sharding.write_shards(odd, f"file://{tmp_path}/s", 100)
     back = spark.read.parquet(f"file://{tmp_path}/s")
-    assert Counter(listed(back.select("doc_id", "text", "k"))) == Counter(listed(odd.select("doc_id", "text", "k")))
+    assert name == "shard__" and Counter(listed(back.select(odd.columns))) == Counter(listed(odd))
+
+
+def test_buckets_below_one_prefix(spark):
+    import random
+
+    rng = random.Random(9)
+    for n, limit in ((1, 5), (3, 0), (40, 30), (3000, 200)):
+        cells = sorted(rng.sample(range(4096), n))
+        sizes = {c: rng.randrange(20) for c in cells}
+        spans = {c: (c << 4, (c << 4) + rng.randrange(2)) for c in cells}
+        depth, size = sharding.settle(np.array(cells), np.array([sizes[c] for c in cells]), np.array([spans[c][0] for c in cells]), np.array([spans[c][1] for c in cells]), limit)
+        for c, d, b in zip(cells, depth.tolist(), size.tolist()):
+            wanted = -1, 0
+            for bits in range(13):
+                group = [x for x in cells if x >> 12 - bits == c >> 12 - bits]
+                if sum(sizes[x] for x in group) <= limit or (len(group) == 1 and spans[c][0] == spans[c][1]):
+                    wanted = bits, sum(sizes[x] for x in group)
+                    break
+            assert (d, b) == wanted
 
 
 def test_deep_splits(spark):
