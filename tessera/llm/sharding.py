@@ -1,19 +1,23 @@
 """Extendible hashing: shards are hash prefixes, and only a bucket over the byte limit is split on another bit.
 
-Sizes are summed by prefix, twelve bits a round. Only buckets that are still too large reach the next round, so a shard
-is the shortest prefix whose documents fit the limit. The directory (prefix -> shard) is a table.
+Sizes are summed by prefix, twelve bits a round. The at most 4,096 sums below one prefix of the round before meet once, and
+there the bits are split one after another, halves of a bucket over the limit only. Buckets that are still too large reach
+the next round, so a shard is the shortest prefix whose documents fit the limit. The directory (prefix -> shard) is a table.
 
 Defined results: the hash is of doc_id and text, so null or repeated ids don't meet in one bucket. Rows that are
 repeated as a whole share a hash, and no bit can part them: where they, or one long document, exceed the limit, they
 make a shard of one key with `overflow` set. A null text has 0 bytes. An empty table gives no rows. A table within the
-limit is one shard, the empty prefix. Columns besides doc_id and text pass `write_shards` unread; the ones that it adds
-start with `shard`, and columns of these names are replaced.
+limit is one shard, the empty prefix. Columns besides doc_id and text pass `write_shards` unread, whatever their names:
+the folder's column is `shard`, or `shard_`, and so on, if there is one of that name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,32 @@ def _prefix(bits: int) -> Column:
     return F.expr(f"shiftright(hash, {HASH_BITS - bits})")
 
 
+def settle(cell: np.ndarray, n_bytes: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """For cells below one prefix, the bits of its shard that each has beyond the prefix, or -1, and the shard's bytes.
+    low, high: the hashes of each cell."""
+    width = 1 << ROUND_BITS
+    at = cell & (width - 1)
+    held, least, most = np.zeros(width, np.int64), np.full(width, 1 << HASH_BITS, np.int64), np.full(width, -1, np.int64)
+    held[at], least[at], most[at] = n_bytes, low, high
+    depth, size = np.full(width, -1), np.zeros(width, np.int64)
+    for bits in range(ROUND_BITS, -1, -1):  # the shortest prefix that fits is written last
+        below = width >> bits
+        fits = np.repeat((held <= limit) | (least >= most), below)
+        depth[fits], size[fits] = bits, np.repeat(held, below)[fits]
+        if bits:
+            held, least, most = held.reshape(-1, 2).sum(axis=1), least.reshape(-1, 2).min(axis=1), most.reshape(-1, 2).max(axis=1)
+    return depth[at], size[at]
+
+
+def _splitter(base: int, limit: int) -> Callable[[pa.Table], pa.Table]:
+    def split(table: pa.Table) -> pa.Table:
+        cell, n_bytes, low, high = (table.column(c).to_numpy() for c in ("cell", "n_bytes", "low", "high"))
+        depth, size = settle(cell, n_bytes, low, high, limit)
+        return pa.table({"cell": cell, "depth": pa.array((base + depth).astype(np.int32)), "shard_bytes": size, "overflow": pa.array(size > limit), "found": pa.array(depth >= 0)})
+
+    return split
+
+
 def directory(sizes: DataFrame, limit: int = LIMIT) -> list[tuple[int, DataFrame]]:
     """sizes: (hash, n_bytes). For each round its number of bits, and the directory of what it settled: (cell, depth,
     shard_bytes, overflow) for each prefix of so many bits that occurs."""
@@ -40,19 +70,10 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> list[tuple[int, DataFrame
     rest = sizes
     for bits in range(ROUND_BITS, HASH_BITS + 1, ROUND_BITS):
         cells = rest.withColumn("cell", _prefix(bits)).groupBy("cell").agg(F.sum("n_bytes").alias("n_bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-        base = bits - ROUND_BITS
-        up = F.explode(F.sequence(F.lit(base), F.lit(bits))).alias("depth")
-        nodes = cells.select("*", up).withColumn("node", F.expr(f"shiftright(cell, {bits} - depth)")).groupBy("depth", "node").agg(F.sum("n_bytes").alias("shard_bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
-        fits = (F.col("shard_bytes") <= limit) | (F.col("low") == F.col("high"))
-        nodes = nodes.withColumn("fits", fits)
-        # of the nodes above a cell, the first that fits is its shard
-        found = (
-            cells.select("cell", up).withColumn("node", F.expr(f"shiftright(cell, {bits} - depth)")).join(nodes, ["depth", "node"])
-            .groupBy("cell").agg(F.min(F.when(F.col("fits"), F.struct("depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("overflow")))).alias("s"))
-        )
+        found = cells.groupBy(F.expr(f"shiftright(cell, {ROUND_BITS})").alias("above")).applyInArrow(_splitter(bits - ROUND_BITS, limit), "cell long, depth int, shard_bytes long, overflow boolean, found boolean")
         found = materialize(found, "directory")
-        rounds.append((bits, found.filter("s is not null").select("cell", "s.*")))
-        open_cells = found.filter("s is null").select("cell")
+        rounds.append((bits, found.filter("found").drop("found")))
+        open_cells = found.filter("not found").select("cell")
         if open_cells.isEmpty():
             break
         rest = rest.withColumn("cell", _prefix(bits)).join(open_cells, "cell", "left_semi").drop("cell")
@@ -67,11 +88,16 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("doc_id", "n_bytes", "hash", named.alias("shard"), "depth", "shard_bytes", "overflow")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Writes `docs` to one folder a shard, shard=<prefix>, all its columns kept."""
-    places = assign(docs, limit).select(F.col("hash").alias("shard_hash"), F.concat(F.lit("p"), "shard").alias("shard")).distinct()
-    kept = docs.drop("shard", "shard_hash").withColumn("shard_hash", row_hash(F.col("doc_id"), F.col("text")))
-    kept.join(places, "shard_hash").drop("shard_hash").repartition(partitions(docs.sparkSession), "shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> str:
+    """Writes `docs` to one folder a shard, shard=<prefix>, all its columns kept. Returns the name of the folder's column."""
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    places = assign(docs, limit).select(F.col("hash").alias("__hash"), F.concat(F.lit("p"), "shard").alias("__shard")).distinct()
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_hash(F.col("doc_id"), F.col("text")).alias("__hash"))
+    held = held.join(places, "__hash").repartition(partitions(docs.sparkSession), "__shard")
+    held.select(*(F.col(f"row.`{c}`") for c in docs.columns), F.col("__shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op3_extendible_hashing(spark: SparkSession, sf_dir: str, limit: int = LIMIT) -> DataFrame:
