@@ -20,8 +20,8 @@ ones first. Two texts at a Jaccard similarity of 0.8 share one of the first n -
 the texts that meet there and are about as long are candidates, and are verified on whole texts. Of a shingle that many
 texts have, a few are held against all others, then, in rounds, four times as many each time, until what is left lies in
 one component: only pairs that are linked already, directly or not, are left out. So no pair at a Jaccard similarity of 0.8 is
-lost but by colliding 64-bit hashes. A pair below it whose words are covered is found if one of the rarest fifth of its shingles is shared:
-at a Jaccard similarity of 0.4 and 100 words, all but about one in 10,000. Work is linear for copies of one text, and the
+lost but by colliding 64-bit hashes. A pair below it whose words are covered is found if one of the rarest fifth of its
+shingles is shared: at a Jaccard similarity of 0.4 and 100 words, all but about one in 10,000. Work is linear for copies of one text, and the
 number of pairs for texts that share rare shingles and are not copies.
 
 Defined results: a null text is an empty one; its fingerprint is zero, linked like any other. Texts of one or two words
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialize, record_batch, small_batches, work_path
+from .common import drop_path, materialize, record_batch, release, small_batches, work_path
 from .words import WHITE_SPACE_LOWER, Words, annotate, translated
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -49,7 +49,7 @@ COPY_SHINGLE, SIMILAR, SLACK = 5, 0.8, 1e-6
 #: Texts, about, from which common shingles are known, and how many of these are kept; only an order depends on them.
 ORDER_SAMPLE, MOST_ORDERED = 10_000, 100_000
 #: Texts of a shingle that are held against all others in the first round; four times as many in each next one.
-FIRST_HUBS = 8
+FIRST_HUBS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _VECTORS = [1 + i % 7 for i in range(BITS)]
 #: Mask v - 1: the bits that table v keeps.
@@ -242,9 +242,12 @@ def similarity(a: str, b: str) -> float:
     return max(len(shared) / (len(p) + len(q) - len(shared)), min(covered(x, shared), covered(y, shared)) / longest)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similar) of each of `pairs` (a, b), by whole texts."""
-    held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """(a, b, similar) of each of `pairs` (a, b), by whole texts. Those in pairs are picked once, and written to `path`; a
+    pair then moves one text."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    picked = materialize(texts.join(named, "id", "left_semi"), "", path)
+    held = pairs.join(picked.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(picked.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +266,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
     # a text that shares none of its rarest shingles goes no further
     found = _prefixes(texts, _common(texts)).withColumn("among", F.count("*").over(Window.partitionBy("shingle")))
     shared = materialize(found.filter("among > 1").drop("among"), "", f"{work}/shared")
+    release(spark)
     share = shared.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
     rows = materialize(shared.join(share, "id").withColumn("root", F.col("id")), "", f"{work}/rows-0")
     drop_path(spark, f"{work}/shared")
@@ -273,6 +277,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
         ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy("held", F.desc("share"), "id")))
         rest = materialize(ranked.drop("held"), "", f"{work}/ranked-{turn}")
         drop_path(spark, f"{work}/rows-{turn}")
+        release(spark)
         hub = rest.filter(F.col("rank") <= hubs).select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root", "rank")))
         # shingles that two texts at SIMILAR share at least; all of them are at or after the first shared one in order
         least = (F.col("n") + F.col("hub_n")) * (SIMILAR / (1 + SIMILAR)) - SLACK
@@ -282,8 +287,10 @@ def near_copies(texts: DataFrame) -> DataFrame:
         pairs = rest.join(hub, "shingle").filter(fits).select(F.greatest("id", "hub_id").alias("a"), F.least("id", "hub_id").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        now = materialize(_verified(materialize(pairs, "", f"{work}/pairs-{turn}"), texts), "", f"{work}/checked-{turn}")
-        drop_path(spark, f"{work}/pairs-{turn}")
+        now = materialize(_verified(materialize(pairs, "", f"{work}/pairs-{turn}"), texts, f"{work}/picked-{turn}"), "", f"{work}/checked-{turn}")
+        for name in ("pairs", "picked"):
+            drop_path(spark, f"{work}/{name}-{turn}")
+        release(spark)
         checked = now if checked is None else checked.union(now)
         links = checked.filter("similar").select("a", "b")
         rest = rest.filter(F.col("rank") > hubs).drop("rank")
@@ -322,8 +329,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     same = distinct.join(by_fp, "fp").filter("id <> of_fp").select(F.col("id").alias("a"), F.col("of_fp").alias("b"))
     path = work_path(spark, "texts")
     texts = materialize(held.select("id", F.col("row.text").alias("text")).join(distinct.select("id"), "id", "left_semi"), "", path)
+    release(spark)
     linked = components(prints.union(same).union(near_copies(texts)))
     drop_path(spark, path)
+    release(spark)
     last = distinct.join(linked, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id")).agg(F.min("first").alias("first"))
     return held.join(last.select(F.col("first.z").alias("id")), "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
