@@ -18,7 +18,7 @@ whose Jaccard similarity is `SIMILAR` or more, or of whose words that share or m
 of the longer one's words), since each changed word breaks five shingles but is one word. Shingles are put in an order, rare
 ones first. Two texts at a Jaccard similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles each, so
 the texts that meet there and are about as long are candidates, and are verified on whole texts. Of a shingle that many
-texts have, a few are held against all others, then, in rounds, four times as many each time, until what is left lies in
+texts have, a few are held against all others, then, in rounds, more and more, until what is left lies in
 one component: only pairs that are linked already, directly or not, are left out. So no pair at a Jaccard similarity of 0.8 is
 lost but by colliding 64-bit hashes. A pair below it whose words are covered is found if one of the rarest fifth of its
 shingles is shared: at a Jaccard similarity of 0.4 and 100 words, all but about one in 10,000. Work is linear for copies of one text, and the
@@ -48,8 +48,8 @@ SHINGLE, SEED, BITS = 3, 42, 64
 COPY_SHINGLE, SIMILAR, SLACK = 5, 0.8, 1e-6
 #: Texts, about, from which common shingles are known, and how many of these are kept; only an order depends on them.
 ORDER_SAMPLE, MOST_ORDERED = 10_000, 100_000
-#: Texts of a shingle that are held against all others in the first round; four times as many in each next one.
-FIRST_HUBS = 2
+#: Texts of a shingle that are held against all others in the first round, and how many times as many in each next one.
+FIRST_HUBS, MORE_HUBS = 4, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _VECTORS = [1 + i % 7 for i in range(BITS)]
 #: Mask v - 1: the bits that table v keeps.
@@ -118,25 +118,30 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of `edges` (a, b); root is the least node of its component."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
-    state = None
+    """(node, root) for each node of `edges` (a, b); root is the least node of its component. The rounds' tables are dropped
+    once the next one is written."""
+    spark = edges.sparkSession
+    path, used = work_path(spark, "edges"), []
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "", path)
     for _ in range(most_rounds):
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        used = [path, work_path(spark, "least")]
+        # written first, so that Spark can split a node with very many neighbours in the join
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "", used[1])
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its neighbours below go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a > b").distinct()
-        edges = materialize(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components were not settled in {most_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        path = work_path(spark, "edges")
+        edges = materialize(small, "", path)
+        for old in used:
+            drop_path(spark, old)
+        # settled once all edges make stars: each upper end has one lower end, and no end is both
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    raise RuntimeError(f"components were not settled in {most_rounds} rounds")
 
 
 def classes(fps: DataFrame) -> DataFrame:
@@ -296,7 +301,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
         rest = rest.filter(F.col("rank") > hubs).drop("rank")
         if rest.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             break
-        turn, hubs = turn + 1, hubs * 4
+        turn, hubs = turn + 1, hubs * MORE_HUBS
         roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "now")
         rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("now", "id")).drop("now")
         # what is left of a shingle and lies in one class needs no check
