@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ def units(spark: SparkSession, base: str, states: list[int]):
     path = readers.cache_path(f"{base}/results", "units", states="_".join(map(str, states)))
     try:
         return readers.units(spark, path).select("*")
-    except Exception:  # noqa: BLE001  not there yet
-        pass
+    except AnalysisException as e:  # not there yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     parts = None
     for state in states:
         blocks = readers.blocks(spark, census.prepare_blocks(state, base), state, lines=True)
