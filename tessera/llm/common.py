@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_dir
+
 
 #: What a worker process keeps from task to task, by name. Tasks of other operators let go of it.
 KEPT: dict[str, object] = {}
@@ -26,15 +27,6 @@ def trim() -> None:
         pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset, as in tests, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def work_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, never used twice."""
     return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
