@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import expressions as E
 from ..functions.geo import Lambert
 from .graphs import segments, undirected
 
@@ -48,24 +47,31 @@ def crossings(points: DataFrame, boundaries: DataFrame) -> DataFrame:
     return points.join(met, ["unit_id", "x", "y"], "left").withColumn("inside", (F.coalesce("n", F.lit(0)) % 2 == 1) & (F.coalesce("n_on", F.lit(0)) == 0)).drop("n", "n_on")
 
 
-def _even(cell: Column) -> Column:
-    """The even number at or next to it towards zero."""
-    return 2 * F.signum(cell).cast("long") * F.floor(F.abs(cell) / 2).cast("long")
-
-
-def _windows(boundaries: DataFrame, size: float) -> DataFrame:
-    """(unit_id, i0, i1, j0, j1): the even cells around a unit's box, with a margin."""
-    found = bounds(boundaries)
-    low = lambda c: _even(E.grid_index(F.col(c), size)) - 2
-    high = lambda c: _even(E.grid_index(F.col(c), size)) + 4
-    return found.select("unit_id", low("min_x").alias("i0"), high("max_x").alias("i1"), low("min_y").alias("j0"), high("max_y").alias("j1"))
+def _row_spans(boundaries: DataFrame, size: float) -> DataFrame:
+    """(unit_id, j, xs, held): for each even row of the grid, where a unit's edges cross it, in order, and the stretches
+    of the row that its edges touch. Each edge is sent to the rows that it reaches, so no point meets an edge."""
+    edge = undirected(segments(boundaries)).select("unit_id", "low", "high")
+    # an edge is taken from its lower end, so that both its owners find the same crossing
+    first, last = (F.when(F.col("low.y") <= F.col("high.y"), F.col(a)).otherwise(F.col(b)) for a, b in (("low", "high"), ("high", "low")))
+    edge = edge.select("unit_id", first.alias("p"), last.alias("q"))
+    rows = F.sequence(2 * F.floor(F.col("p.y") / (2 * size)), 2 * F.floor(F.col("q.y") / (2 * size)) + 2, F.lit(2).cast("long"))
+    met = edge.select("*", F.explode(rows).alias("j")).withColumn("y", F.col("j") * size).filter("y >= p.y and y <= q.y")
+    level = F.col("p.y") == F.col("q.y")
+    x = F.col("p.x") + (F.col("y") - F.col("p.y")) * (F.col("q.x") - F.col("p.x")) / (F.col("q.y") - F.col("p.y"))
+    x = F.when(F.col("y") == F.col("q.y"), F.col("q.x")).otherwise(x)
+    met = met.select("unit_id", "j", F.when(~level & (F.col("y") < F.col("q.y")), x).alias("x"), F.struct(F.when(level, F.col("p.x")).otherwise(x).alias("a"), F.when(level, F.col("q.x")).otherwise(x).alias("b")).alias("s"))
+    return met.groupBy("unit_id", "j").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.collect_list("s").alias("held"))
 
 
 def grid_points(boundaries: DataFrame, size: float) -> DataFrame:
-    """(i, j, unit_id): each even grid point that lies within some unit, with that unit; of several the highest id."""
-    found = _windows(boundaries, size).select("unit_id", F.explode(F.sequence("i0", "i1", F.lit(2).cast("long"))).alias("i"), "j0", "j1")
-    found = found.select("unit_id", "i", F.explode(F.sequence("j0", "j1", F.lit(2).cast("long"))).alias("j")).withColumn("x", F.col("i") * size).withColumn("y", F.col("j") * size)
-    return crossings(found, boundaries).filter("inside").groupBy("i", "j").agg(F.max("unit_id").alias("unit_id"))
+    """(i, j, unit_id): each even grid point that lies within some unit, with that unit; of several the highest id. Rings
+    are closed, so a row's crossings come in pairs, and between the two of a pair it lies within; points on an edge are left out."""
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size("xs") / 2).cast("int")), lambda k: F.struct(F.element_at("xs", 2 * k - 1).alias("a"), F.element_at("xs", 2 * k).alias("b")))
+    found = _row_spans(boundaries, size).filter("size(xs) > 1").select("unit_id", "j", "held", F.explode(pairs).alias("s"))
+    steps = F.sequence(2 * F.floor(F.col("s.a") / (2 * size)), 2 * F.floor(F.col("s.b") / (2 * size)) + 2, F.lit(2).cast("long"))
+    found = found.select("unit_id", "j", "held", "s", F.explode(steps).alias("i")).withColumn("x", F.col("i") * size).filter("x > s.a and x < s.b")
+    found = found.filter(~F.exists("held", lambda h: F.col("x").between(F.least(h["a"], h["b"]), F.greatest(h["a"], h["b"]))))
+    return found.groupBy("i", "j").agg(F.max("unit_id").alias("unit_id"))
 
 
 def corners(points: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,22 +33,15 @@ def candidates(assignment: DataFrame, adjacency: DataFrame, interactions: DataFr
     return found.select("unit_id", "src_partition", "dst_partition", (log("to_dst") - log("to_src")).alias("affinity"))
 
 
-def _connected(nodes: pd.Series, edges: pd.Series) -> pd.Series:
-    """Each row's nodes, one at least, hang together by its edges (struct of a and b)."""
+def _connected(nodes: Column, links: Column) -> Column:
+    """The nodes, one at least, hang together by the links (struct of a and b). Groups of nodes, single at first, are
+    merged link by link; there are as many nodes as a unit has neighbours."""
 
-    def one(own, links) -> bool:
-        parent = {n: n for n in own}
+    def merged(groups: Column, link: Column) -> Column:
+        holds = lambda g: F.array_contains(g, link["a"]) | F.array_contains(g, link["b"])
+        return F.concat(F.filter(groups, lambda g: ~holds(g)), F.array(F.flatten(F.filter(groups, holds))))
 
-        def root(n):
-            while parent[n] != n:
-                parent[n] = n = parent[parent[n]]
-            return n
-
-        for e in links:
-            parent[root(e["a"])] = root(e["b"])
-        return len({root(n) for n in parent}) == 1
-
-    return pd.Series([one(n, e) for n, e in zip(nodes, edges)])
+    return F.size(F.aggregate(links, F.transform(nodes, lambda n: F.array(n)), merged)) == 1
 
 
 def sides(moves: DataFrame, assignment: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -62,9 +54,9 @@ def sides(moves: DataFrame, assignment: DataFrame, adjacency: DataFrame) -> Data
     links = inner.groupBy("unit_id", "partition").agg(F.collect_list(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"))).alias("links"))
     nodes = near.groupBy("unit_id", "partition").agg(F.collect_set("near").alias("nodes")).join(links, ["unit_id", "partition"], "left")
     links = F.coalesce("links", F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    # one neighbour, or fewer links than a tree has, need no worker
-    certain = F.when(F.size("nodes") == 1, True).when(F.size(links) < F.size("nodes") - 1, False).when((F.size("nodes") == 2), True)
-    return nodes.select("unit_id", "partition", F.coalesce(certain, F.pandas_udf(_connected, "boolean")("nodes", links)).alias("connected"))
+    # one neighbour, or fewer links than a tree has, need no merging
+    whole = F.when(F.size("nodes") == 1, True).when(F.size(links) < F.size("nodes") - 1, False).otherwise(_connected(F.col("nodes"), links))
+    return nodes.select("unit_id", "partition", whole.alias("connected"))
 
 
 def legality(moves: DataFrame, assignment: DataFrame, adjacency: DataFrame, force_connected: bool = True) -> DataFrame:
