@@ -51,3 +51,13 @@ def grid_index(value: Column, size: float) -> Column:
 def commands(line: Column) -> Column:
     """The commands of a line, each a struct of a lower-case name and parameters in their own case."""
     return F.transform(F.split(line, ";"), lambda c: F.struct(F.lower(F.trim(F.element_at(F.split(c, "=", 2), 1))).alias("command"), F.trim(F.coalesce(F.try_element_at(F.split(c, "=", 2), F.lit(2)), F.lit(""))).alias("params")))
+
+
+#: Numbers from 0 that `drawn` gives.
+DRAWN = 1 << 52
+
+
+def drawn(*parts: Column) -> Column:
+    """A random number below `DRAWN` that the parts, as text, decide: the first bits of their MD5."""
+    text = F.concat_ws(":", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")

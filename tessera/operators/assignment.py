@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
+
 
 def populations(assignment: DataFrame, units: DataFrame) -> DataFrame:
     """(partition_id, pop)."""
@@ -49,9 +51,10 @@ def check_partitions(n: int, units: int) -> None:
 
 
 def seeds(units: DataFrame, k: int, seed: int) -> DataFrame:
-    """k units at random, numbered from 1: (unit_id, partition_id). The order is a hash of id and seed."""
-    picked = units.select("unit_id").orderBy(F.xxhash64("unit_id", F.lit(seed)), "unit_id").limit(k)
-    order = Window.orderBy(F.xxhash64("unit_id", F.lit(seed)), "unit_id")  # k rows
+    """k units at random, numbered from 1: (unit_id, partition_id). The order is drawn from id and seed."""
+    at = E.drawn(F.lit(seed), F.col("unit_id"))
+    picked = units.select("unit_id").orderBy(at, "unit_id").limit(k)
+    order = Window.orderBy(at, "unit_id")  # k rows
     return picked.select("unit_id", F.row_number().over(order).cast("long").alias("partition_id"))
 
 
@@ -59,5 +62,5 @@ def random_assignment(units: DataFrame, k: int, seed: int) -> DataFrame:
     """Each of k partitions gets one unit, and the others fall at random; they need not be connected."""
     check_partitions(k, units.count())
     first = F.broadcast(seeds(units, k, seed))  # k rows
-    rest = F.pmod(F.xxhash64("unit_id", F.lit(seed), F.lit("rest")), F.lit(k)).cast("long") + 1
+    rest = E.drawn(F.lit(seed), F.col("unit_id"), F.lit("rest")) % k + 1
     return units.select("unit_id").join(first, "unit_id", "left").select("unit_id", F.coalesce("partition_id", rest).alias("partition_id"))

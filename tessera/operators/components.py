@@ -45,23 +45,39 @@ def largest_components(found: DataFrame, units: DataFrame) -> DataFrame:
     return best.select("partition_id", (-F.col("m.c")).alias("component"), F.col("m.pop").alias("pop"), "n_components")
 
 
-def repair(assignment: DataFrame, adjacency: DataFrame, units: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """Each partition keeps its largest component. In every round, other units beside a settled one go to the least
-    partition among those they touch, so each stays connected. Fails if some touch none."""
-    adjacency = materialize(adjacency.select("src", "dst"), "adjacency")
+#: Hops of a repair in one job.
+HOPS = 6
+
+
+def repair(assignment: DataFrame, adjacency: DataFrame, units: DataFrame, most_hops: int = 1200) -> DataFrame:
+    """Each partition keeps its largest component. Hop by hop, other units beside a settled one go to the least
+    partition among those that they touch and that were settled by the hop before, so each stays connected. Fails if some
+    touch none. A unit carries its loose neighbours and tells them once, when it has settled: a hop is one shuffle, and
+    `HOPS` of them make a job."""
     found = materialize(partition_components(assignment, adjacency), "components")
     kept = largest_components(found, units).select("partition_id", "component").withColumn("kept", F.lit(True))
     settled = F.when(F.col("kept"), F.col("partition_id")).alias("partition_id")
-    state = materialize(found.join(kept, ["partition_id", "component"], "left").select("unit_id", settled), "settled")
-    left = state.filter("partition_id is null").count()
-    for _ in range(most_rounds):
-        if not left:
-            return state
-        loose = state.filter("partition_id is null").select(F.col("unit_id").alias("src"))
-        near = state.filter("partition_id is not null").select(F.col("unit_id").alias("dst"), F.col("partition_id").alias("p"))
-        moved = adjacency.join(loose, "src", "left_semi").join(near, "dst").groupBy(F.col("src").alias("unit_id")).agg(F.min("p").alias("p"))
-        state = materialize(state.join(moved, "unit_id", "left").select("unit_id", F.coalesce("partition_id", "p").alias("partition_id")), "settled")
-        left, before = state.filter("partition_id is null").count(), left
+    first = materialize(found.join(kept, ["partition_id", "component"], "left").select("unit_id", settled), "settled")
+    loose = first.filter("partition_id is null").select(F.col("unit_id").alias("dst"))
+    near = adjacency.select("src", "dst").join(loose, "dst", "left_semi").groupBy(F.col("src").alias("unit_id")).agg(F.collect_set("dst").alias("near"))
+    state = materialize(first.join(near, "unit_id", "left").withColumn("fresh", F.col("partition_id").isNotNull()), "settled")
+    left, hops = loose.count(), 0
+    while left:
+        if hops >= most_hops:
+            raise RuntimeError(f"{left} units were left after {hops} hops")
+        for _ in range(HOPS):
+            own = F.struct("unit_id", F.col("partition_id").alias("own"), F.lit(None).cast("long").alias("told"), "near")
+            tell = lambda n: F.struct(n.alias("unit_id"), F.lit(None).cast("long").alias("own"), F.col("partition_id").alias("told"), F.lit(None).cast("array<long>").alias("near"))
+            told = F.when(F.col("fresh"), F.transform("near", tell))
+            sent = F.concat(F.array(own), F.coalesce(told, F.array().cast(f"array<{_TOLD}>")))
+            heard = state.select(F.explode(sent).alias("r")).select("r.*").groupBy("unit_id").agg(F.max("own").alias("own"), F.min("told").alias("told"), F.first("near", ignorenulls=True).alias("near"))
+            state = heard.select("unit_id", F.coalesce("own", "told").alias("partition_id"), "near", (F.col("own").isNull() & F.col("told").isNotNull()).alias("fresh"))
+        state = materialize(state, "settled")
+        hops, before = hops + HOPS, left
+        left = state.filter("partition_id is null").count()
         if left == before:
             raise ValueError(f"{left} units touch no other partition")
-    raise RuntimeError(f"{left} units were left after {most_rounds} rounds")
+    return state.select("unit_id", "partition_id")
+
+
+_TOLD = "struct<unit_id:bigint,own:bigint,told:bigint,near:array<bigint>>"

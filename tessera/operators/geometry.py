@@ -34,16 +34,18 @@ def project(boundaries: DataFrame, projection: Lambert) -> DataFrame:
     return boundaries.withColumn("geometry", F.transform("geometry", lambda poly: F.transform(poly, lambda ring: F.transform(ring, point))))
 
 
-def crossings(points: DataFrame, boundaries: DataFrame) -> DataFrame:
+def crossings(points: DataFrame, boundaries: DataFrame, band: float = 0.05) -> DataFrame:
     """points: (unit_id, x, y), each to be held against the boundary of its own unit. Adds `inside`: it lies within, by
-    the parity of the edges that a ray to the right crosses; a point on an edge lies outside."""
-    edge = segments(boundaries).select("unit_id", "x1", "y1", "x2", "y2")
+    the parity of the edges that a ray to the right crosses; a point on an edge lies outside. A point meets the edges of
+    its band of y alone, all that a ray can cross, so a unit's work is spread over its bands."""
+    low, high = F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)
+    edge = segments(boundaries).select("unit_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(low, high)).alias("band"))
     x, y = F.col("x"), F.col("y")
     spans = (F.col("y1") > y) != (F.col("y2") > y)
     side = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (x - F.col("x1")) * (F.col("y2") - F.col("y1"))
     right = F.when(F.col("y2") > F.col("y1"), side > 0).otherwise(side < 0)
     on = (side == 0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    met = points.join(edge, "unit_id").groupBy("unit_id", "x", "y").agg(F.count_if(spans & right).alias("n"), F.count_if(on).alias("n_on"))
+    met = points.withColumn("band", F.floor(y / band)).join(edge, ["unit_id", "band"]).groupBy("unit_id", "x", "y").agg(F.count_if(spans & right).alias("n"), F.count_if(on).alias("n_on"))
     return points.join(met, ["unit_id", "x", "y"], "left").withColumn("inside", (F.coalesce("n", F.lit(0)) % 2 == 1) & (F.coalesce("n_on", F.lit(0)) == 0)).drop("n", "n_on")
 
 

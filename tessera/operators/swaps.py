@@ -115,7 +115,7 @@ def pick_inverse(scored: DataFrame, u: float) -> DataFrame:
 def pick(scored: DataFrame, seed: int) -> DataFrame:
     """One legal candidate, drawn with a chance in proportion to exp(score): the one with the highest score plus Gumbel
     noise, which is a hash of seed, unit and partition. No sort and no order is needed."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "unit_id", "dst_partition"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    u = (E.drawn(F.lit(seed), F.col("unit_id"), F.col("dst_partition")) + 0.5) / F.lit(float(E.DRAWN))
     noisy = scored.filter("legal").withColumn("noisy", F.col("score") - F.ln(-F.ln(u)))
     return noisy.orderBy(F.desc("noisy"), "unit_id", "dst_partition").limit(1).drop("noisy")
 

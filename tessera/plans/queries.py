@@ -196,12 +196,26 @@ def largest_component(spark: SparkSession, d: str) -> DataFrame:
     return C.largest_components(C.partition_components(X.scattered(spark, d), X.adjacency(spark, d)), X.units(spark, d))
 
 
-@query()
+# a walk from settled units to one as near as any reaches it by as many hops; of such walks the least partition holds
+_REPAIRED = f"""{_REACH}, sums AS (SELECT partition_id, component, CAST(sum(pop) AS BIGINT) AS pop FROM scattered JOIN found USING (unit_id) JOIN units USING (unit_id) GROUP BY 1, 2),
+best AS (SELECT partition_id, component FROM sums QUALIFY row_number() OVER (PARTITION BY partition_id ORDER BY pop DESC, component) = 1),
+settled AS (SELECT unit_id, partition_id FROM scattered JOIN found USING (unit_id) JOIN best USING (partition_id, component)), n_loose AS (SELECT (SELECT count(*) FROM scattered) - (SELECT count(*) FROM settled) AS n),
+hops AS (SELECT unit_id, 0 AS hop FROM settled UNION SELECT dst, hop + 1 FROM hops JOIN adj ON src = unit_id ANTI JOIN settled s ON s.unit_id = dst WHERE hop < least(200, (SELECT n FROM n_loose))),
+nearest AS (SELECT unit_id, min(hop) AS hop FROM hops GROUP BY 1),
+walks AS (SELECT unit_id, partition_id, 0 AS hop FROM settled UNION SELECT dst, partition_id, w.hop + 1 FROM walks w JOIN adj ON src = w.unit_id JOIN nearest n ON n.unit_id = dst AND n.hop = w.hop + 1)
+SELECT unit_id, min(partition_id) AS partition_id FROM walks GROUP BY 1"""
+
+
+@query(duck(_REPAIRED, "adj", "scattered", "units", recursive=True))
 def repair_connectivity(spark: SparkSession, d: str) -> DataFrame:
     return C.repair(X.scattered(spark, d), X.adjacency(spark, d), X.units(spark, d))
 
 
-@query()
+def _duck_drawn(*parts: object) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 13) AS BIGINT)"
+
+
+@query(duck(f"SELECT unit_id, CASE WHEN r <= 16 THEN r ELSE {_duck_drawn(SEED, 'unit_id', chr(39) + 'rest' + chr(39))} % 16 + 1 END AS partition_id FROM (SELECT unit_id, row_number() OVER (ORDER BY {_duck_drawn(SEED, 'unit_id')}, unit_id) AS r FROM grid)", "grid"))
 def random_partition(spark: SparkSession, d: str) -> DataFrame:
     return A.random_assignment(X.grid(spark, d), 16, SEED)
 
@@ -219,19 +233,15 @@ def swap_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(swaps.candidates(X.blocky(spark, d), X.adjacency(spark, d), X.interactions(spark, d)), 6, "affinity")
 
 
-@query(
-    duck(
-        """moved AS (SELECT DISTINCT src AS unit_id, a.partition_id AS src_partition, b.partition_id AS dst_partition FROM brick JOIN blocky a ON a.unit_id = src JOIN blocky b ON b.unit_id = dst WHERE a.partition_id <> b.partition_id),
-near AS (SELECT src AS unit_id, partition_id AS side, dst AS node FROM brick JOIN blocky b ON b.unit_id = dst),
+_MOVED = "SELECT DISTINCT src AS unit_id, a.partition_id AS src_partition, b.partition_id AS dst_partition FROM brick JOIN blocky a ON a.unit_id = src JOIN blocky b ON b.unit_id = dst WHERE a.partition_id <> b.partition_id"
+_SIDES = """near AS (SELECT src AS unit_id, partition_id AS side, dst AS node FROM brick JOIN blocky b ON b.unit_id = dst),
 reach AS (SELECT unit_id, side, min(node) AS node FROM near GROUP BY 1, 2 UNION SELECT r.unit_id, r.side, n.node FROM reach r JOIN brick l ON l.src = r.node JOIN near n ON n.unit_id = r.unit_id AND n.side = r.side AND n.node = l.dst),
-sides AS (SELECT unit_id, side, count(*) = (SELECT count(*) FROM near n WHERE n.unit_id = r.unit_id AND n.side = r.side) AS whole FROM reach r GROUP BY 1, 2), sizes AS (SELECT partition_id, count(*) AS n FROM blocky GROUP BY 1)
-SELECT m.unit_id, src_partition, dst_partition, n > 1 AND coalesce(s.whole, false) AND coalesce(t.whole, false) AS legal FROM moved m JOIN sizes ON partition_id = src_partition
-LEFT JOIN sides s ON s.unit_id = m.unit_id AND s.side = src_partition LEFT JOIN sides t ON t.unit_id = m.unit_id AND t.side = dst_partition""",
-        "brick",
-        "blocky",
-        recursive=True,
-    )
-)
+sides AS (SELECT unit_id, side, count(*) = (SELECT count(*) FROM near n WHERE n.unit_id = r.unit_id AND n.side = r.side) AS whole FROM reach r GROUP BY 1, 2), sizes AS (SELECT partition_id, count(*) AS n FROM blocky GROUP BY 1)"""
+_LEGAL = """n > 1 AND coalesce(s.whole, false) AND coalesce(t.whole, false) AS legal FROM {} m JOIN sizes ON partition_id = src_partition
+LEFT JOIN sides s ON s.unit_id = m.unit_id AND s.side = src_partition LEFT JOIN sides t ON t.unit_id = m.unit_id AND t.side = dst_partition"""
+
+
+@query(duck(f"moved AS ({_MOVED}), {_SIDES} SELECT m.unit_id, src_partition, dst_partition, {_LEGAL.format('moved')}", "brick", "blocky", recursive=True))
 def swap_legality(spark: SparkSession, d: str) -> DataFrame:
     own, adj = X.blocky(spark, d), X.brick_adjacency(spark, d)
     return swaps.legality(swaps.adjacent_partitions(own, adj), own, adj).select("unit_id", "src_partition", "dst_partition", "legal")
@@ -261,10 +271,16 @@ def inverse_cdf_pick(spark: SparkSession, d: str) -> DataFrame:
     return swaps.pick_inverse(materialize(_scored(spark, d), "scored"), 0.37).select("unit_id", "dst_partition")
 
 
-@query()
+_STEP = f"""moves AS ({_MOVED}), {X.DUCK["candidates"][1]}, {X.DUCK["scored"][1]}, {_SIDES}, judged AS (SELECT m.*, {_LEGAL.format("scored")})
+SELECT unit_id, src_partition, dst_partition, round(affinity, 6) AS affinity, pop_diff, round(score, 6) AS score, legal FROM judged
+WHERE legal ORDER BY score - ln(-ln(({_duck_drawn(SEED, "unit_id", "dst_partition")} + 0.5) / {float(E.DRAWN)})) DESC, unit_id, dst_partition LIMIT 1"""
+
+
+@query(duck(_STEP, "brick", "blocky", "inter", "pops", recursive=True))
 def gumbel_step(spark: SparkSession, d: str) -> DataFrame:
     own, units = X.blocky(spark, d), X.units(spark, d)
-    return swaps.step(own, materialize(X.brick_adjacency(spark, d), "adjacency"), X.interactions(spark, d), A.populations(own, units), SEED)
+    found = swaps.step(own, materialize(X.brick_adjacency(spark, d), "adjacency"), X.interactions(spark, d), A.populations(own, units), SEED)
+    return rounded(found, 6, "affinity", "score").select("unit_id", "src_partition", "dst_partition", "affinity", "pop_diff", "score", "legal")
 
 
 # --- chains -------------------------------------------------------------------------------------------------------
@@ -362,9 +378,23 @@ def downsample_cells(spark: SparkSession, d: str) -> DataFrame:
     return geometry.cells(geometry.grid_points(X.boundaries(spark, d), GRID_SIZE))
 
 
-@query()
+def _steps(lines: DataFrame, key: str) -> DataFrame:
+    """The segments that lines (key, line, points) run through, each as often as they do, and whether its line is closed."""
+    closed = F.col("points")[0] == F.element_at("points", -1)
+    held = lines.select(key, closed.alias("closed"), F.explode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points") - 1).alias("b"))).alias("s"))
+    return graphs.undirected(held.select(key, "closed", *(F.col(f"s.{p}")[i].alias(f"{a}{k}") for k, p in ((1, "a"), (2, "b")) for i, a in enumerate("xy"))))
+
+
+# corners of a cell, and which shapes have each of its sides and diagonals
+_EDGES = {(0, 0, 0, 1): (0, 1, 2), (0, 1, 1, 1): (0, 2, 3), (1, 0, 1, 1): (0, 3, 4), (0, 0, 1, 0): (0, 1, 4), (0, 1, 1, 0): (1, 3), (0, 0, 1, 1): (2, 4)}
+_CELL_EDGES = " UNION ALL ".join(f"SELECT unit_id, i + {a} AS i1, j + {b} AS j1, i + {c} AS i2, j + {e} AS j2 FROM covered WHERE shape IN {shapes}" for (a, b, c, e), shapes in _EDGES.items())
+
+
+@query(duck(f"{_CORNERS}, covered AS ({' UNION ALL '.join(_CELLS)}) SELECT unit_id, true AS closed, i1, j1, i2, j2 FROM ({_CELL_EDGES}) GROUP BY ALL HAVING count(*) = 1", "grid"))
 def downsample_rings(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.downsample(X.boundaries(spark, d), GRID_SIZE)
+    """The rings' segments, by numbers of grid cells."""
+    found = _steps(geometry.downsample(X.boundaries(spark, d), GRID_SIZE), "unit_id")
+    return found.select("unit_id", "closed", *(F.round(F.col(f"{p}.{a}") / GRID_SIZE).cast("long").alias(f"{n}{k}") for k, p in ((1, "low"), (2, "high")) for n, a in (("i", "x"), ("j", "y"))))
 
 
 @query(duck("SELECT partition_id, i1, j1, i2, j2 FROM sides JOIN blocky USING (unit_id) GROUP BY ALL HAVING count(*) = 1", "sides", "blocky"))
@@ -386,14 +416,18 @@ def boundary_segments_distinct(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*_cornered(found))
 
 
-@query()
+@query(duck("SELECT partition_id, true AS closed, i1, j1, i2, j2 FROM sides JOIN blocky USING (unit_id) GROUP BY ALL HAVING count(*) = 1", "sides", "blocky"))
 def partition_rings(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.outline_rings(X.boundaries(spark, d), X.blocky(spark, d))
+    """The rings' segments, by corners of the grid."""
+    found = _steps(geometry.outline_rings(X.boundaries(spark, d), X.blocky(spark, d)), "partition_id")
+    return found.select("partition_id", "closed", *_cornered(found))
 
 
-@query()
+@query(duck("SELECT DISTINCT i1, j1, i2, j2 FROM sides", "sides"))
 def boundary_polylines(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.polylines(X.boundaries(spark, d), tile=1.0)
+    """The lines' segments, by corners of the grid."""
+    found = _steps(geometry.polylines(X.boundaries(spark, d), tile=1.0), "tile")
+    return found.select(*_cornered(found))
 
 
 # --- colours, commands, profiles ----------------------------------------------------------------------------------

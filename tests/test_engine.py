@@ -290,6 +290,50 @@ def test_points_in_a_ring_with_a_hole(spark):
     assert found == {(1.0, 1.0): True, (4.0, 4.0): False, (0.0, 4.0): False, (3.0, 4.0): False, (10.0, 4.0): False, (1.0, 3.0): True, (9.0, 9.0): False}
 
 
+def test_rows_of_a_grid_find_the_points_that_single_tests_find(spark):
+    random = np.random.default_rng(3)
+    shapes = []
+    for unit in range(12):  # stars around a point, in whole and half grid steps, so that corners and level edges lie on rows and no rounding matters
+        angles = np.sort(random.uniform(0, 2 * math.pi, 9))
+        reach = random.uniform(1, 6, 9)
+        at = random.integers(-6, 6, 2)
+        ring = [[float(np.round(2 * (at[0] + r * math.cos(a))) / 2), float(np.round(at[1] + r * math.sin(a)))] for a, r in zip(angles, reach)]
+        shapes.append((unit, [[ring + ring[:1]]]))
+    df = spark.createDataFrame(shapes, "unit_id long, geometry array<array<array<array<double>>>>")
+    size = 0.5
+    grid = [(u, i * size, j * size) for u in range(12) for i in range(-40, 41, 2) for j in range(-40, 41, 2)]
+    judged = geometry.crossings(spark.createDataFrame(grid, "unit_id long, x double, y double"), df).filter("inside").collect()
+    best: dict[tuple[float, float], int] = {}
+    for r in judged:
+        best[r.x, r.y] = max(best.get((r.x, r.y), -1), r.unit_id)
+    found = {(r.i * size, r.j * size): r.unit_id for r in geometry.grid_points(df, size).collect()}
+    assert found == best and len(found) > 50
+
+
+def test_neighbours_hang_together(spark):
+    random = np.random.default_rng(4)
+    edges, own = [], []
+    for unit in range(40):  # unit 1000 * unit and its neighbours, all in partition 2, with some links among them
+        n = int(random.integers(1, 8))
+        own += [(1000 * unit, 1)] + [(1000 * unit + i, 2) for i in range(1, n + 1)]
+        edges += [(1000 * unit, 1000 * unit + i) for i in range(1, n + 1)]
+        edges += [(1000 * unit + i, 1000 * unit + j) for i in range(1, n + 1) for j in range(i + 1, n + 1) if random.random() < 0.35]
+
+    def whole(unit: int) -> bool:
+        rest = {b for a, b in edges if a == unit}
+        front = [rest.pop()]
+        while front:
+            near = {b for a, b in edges if a == front[-1]} | {a for a, b in edges if b == front[-1]}
+            front.pop()
+            front += near & rest
+            rest -= near
+        return not rest
+
+    moves = spark.createDataFrame([(1000 * u, 1, 2) for u in range(40)], "unit_id long, src_partition long, dst_partition long")
+    found = {r.unit_id: r.connected for r in swaps.sides(moves, assigned(spark, own), ungraph(spark, edges)).filter("partition = 2").collect()}
+    assert found == {1000 * u: whole(1000 * u) for u in range(40)} and len(set(found.values())) == 2
+
+
 def test_rings_touching_at_a_point_stay_apart(spark):
     square = lambda x, y: [[[[x, y], [x, y + 1.0], [x + 1.0, y + 1.0], [x + 1.0, y], [x, y]]]]
     df = spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(1.0, 1.0)), (3, square(1.0, 0.0))], "unit_id long, geometry array<array<array<array<double>>>>")
