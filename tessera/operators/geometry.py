@@ -207,3 +207,9 @@ def load_projected(boundaries: DataFrame, units: DataFrame, resolution: int = 10
         return flat.select("unit_id", F.posexplode(F.flatten("geometry")).alias("line", "points"))
     r = total_bounds(flat).first()
     return downsample(flat, min(r.max_x - r.min_x, r.max_y - r.min_y) / resolution)
+
+
+def shapes(rings: DataFrame) -> DataFrame:
+    """(unit_id, geometry): boundaries again of rings (unit_id, line, points), each a polygon of its own; holes are told by
+    parity. Units that shared their edges point by point still do."""
+    return rings.groupBy("unit_id").agg(F.collect_list(F.array("points")).alias("geometry"))

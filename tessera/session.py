@@ -2,11 +2,16 @@
 
 Commands are texts `name` or `name=value`, several on a line with semicolons between. Names are read in any case; values
 keep theirs. A command that fails is reported and changes nothing; a failing step ends the session.
+
+`loop` runs frames until the command exit: steps, as many as fit the frame's time, then an image, if there is a display
+(a file drawn anew each frame), then one message of those that wait. Messages may be put by other threads. A session
+starts paused.
 """
 
 from __future__ import annotations
 
 import math
+import queue
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -55,20 +60,25 @@ class Clock:
     def saw(self, name: str, seconds: float) -> None:
         setattr(self, name, 0.5 * getattr(self, name) + 0.5 * seconds)
 
-    def steps_per_frame(self) -> int:
-        return max(1, math.floor((self.frame - self.plot) / self.step)) if self.step > 0 else 1
+    def steps_per_frame(self, drawn: bool = True) -> int:
+        """As many as fit a frame beside its image, if one is drawn."""
+        left = self.frame - (self.plot if drawn else 0.0)
+        return max(1, math.floor(left / self.step)) if self.step > 0 else 1
 
 
 class Session:
-    def __init__(self, spark: SparkSession, units: DataFrame, boundaries: DataFrame, adjacency: DataFrame, interactions: DataFrame, k: int, seed: int = 0, votes: DataFrame | None = None, say: Callable[[str], None] = print):
+    def __init__(self, spark: SparkSession, units: DataFrame, boundaries: DataFrame, adjacency: DataFrame, interactions: DataFrame, k: int, seed: int = 0, votes: DataFrame | None = None, say: Callable[[str], None] = print, display: str | None = None):
         self.spark, self.units, self.boundaries, self.adjacency, self.interactions = spark, units, boundaries, adjacency, interactions
         self.votes, self.say, self.seed = votes, say, seed
         self.graph = chains.Graph.collect(units, adjacency, interactions)
         self.parameters = chains.Parameters()
         self.k = k
-        self.draws = 0
+        self.draws = self.steps = 0
         self.clock = Clock()
-        self.paused = self.plot_paused = self.show_counties = self.ended = False
+        self.display = display
+        self.messages: queue.SimpleQueue[str] = queue.SimpleQueue()
+        self.paused = True
+        self.plot_paused = self.show_counties = self.ended = False
         self.colours: DataFrame | None = None
         self._begin(chains.grow(self.graph, k, seed))
 
@@ -93,16 +103,41 @@ class Session:
 
     # frames
 
+    def drawn(self) -> bool:
+        return self.display is not None and not self.plot_paused
+
+    def put(self, line: str) -> None:
+        """A message for a later frame; any thread may put it."""
+        if line.strip():
+            self.messages.put(line)
+
     def frame(self, lines: list[str] = ()) -> None:
-        """Steps for one frame, then the commands of one line, if there is one."""
+        """Steps and an image, unless paused, then the commands of one waiting message. lines: messages to put first."""
+        for line in lines:
+            self.put(line)
         if not self.paused:
-            for _ in range(self.clock.steps_per_frame()):
-                began = time.monotonic()
+            began, n = time.monotonic(), self.clock.steps_per_frame(self.drawn())
+            for _ in range(n):
                 self.chain.step()
-                self.clock.saw("step", time.monotonic() - began)
+            self.steps += n
             self.parameters = self.chain.parameters
-        for line in lines[:1]:
-            self.run(line)
+            self.clock.saw("step", (time.monotonic() - began) / n)
+            if self.drawn():
+                self.colours = None
+                self._draw(self.display)
+        try:
+            self.run(self.messages.get_nowait())
+        except queue.Empty:
+            pass
+
+    def loop(self) -> None:
+        """Frames, each as long as the clock's, until the command exit."""
+        while not self.ended:
+            began = time.monotonic()
+            self.frame()
+            left = self.clock.frame - (time.monotonic() - began)
+            if left > 0 and not self.ended:
+                time.sleep(left)
 
     def run(self, line: str) -> None:
         for name, value in split_line(line):
@@ -110,6 +145,8 @@ class Session:
                 self.command(name, value)
             except Exception as e:  # noqa: BLE001  a session goes on after a failing command
                 self.say(f"{name} failed: {e}")
+            if self.ended:
+                break
 
     # commands
 
@@ -183,11 +220,11 @@ class Session:
 
     def do_plot_county_populations(self, _: str) -> None:
         found = colours.with_position(self.units.select("unit_id", "pop"), "pop", log_scale=True)
-        self.colours = found.select("unit_id", colours.ramp(F.col("at")).alias("colour"))
+        self._show(found.select("unit_id", colours.ramp(F.col("at")).alias("colour")))
 
     def do_plot_partition_populations(self, _: str) -> None:
         found = colours.with_position(A.populations(self.assignment(), self.units), "pop", log_scale=True)
-        self.colours = found.select("partition_id", colours.ramp(F.col("at")).alias("colour"))
+        self._show(found.select("partition_id", colours.ramp(F.col("at")).alias("colour")))
 
     def do_simulate_election(self, _: str) -> None:
         if self.votes is None:
@@ -196,7 +233,7 @@ class Session:
         r = election.college(found).first()
         self.say(f"DEM {r.dem_electors}, GOP {r.gop_electors}")
         found = colours.with_position(found, "gop_fraction", least=0.45, most=0.55)
-        self.colours = found.select("partition_id", colours.ramp(F.col("at"), colours.BLUE_WHITE_RED).alias("colour"))
+        self._show(found.select("partition_id", colours.ramp(F.col("at"), colours.BLUE_WHITE_RED).alias("colour")))
 
     def do_pause(self, value: str) -> None:
         self.paused = truth(value) if value else not self.paused
@@ -207,15 +244,25 @@ class Session:
     def do_anim_info(self, _: str) -> None:
         c = self.clock
         self.say(f"paused {self.paused}, display paused {self.plot_paused}, show counties {self.show_counties}")
-        self.say(f"step {1e3 * c.step:g} ms, plot {1e3 * c.plot:g} ms, frame {1e3 * c.frame:g} ms, {c.steps_per_frame()} steps a frame")
+        self.say(f"step {1e3 * c.step:g} ms, plot {1e3 * c.plot:g} ms, frame {1e3 * c.frame:g} ms, {c.steps_per_frame(self.drawn())} steps a frame")
 
     def do_update_plot(self, _: str) -> None:
-        self.colours = None
+        self._show(None)
 
     def do_show_counties(self, value: str) -> None:
         self.show_counties = truth(value)
+        self._show(None)
 
     def do_save_image(self, value: str) -> None:
+        self._draw(value)
+
+    def _show(self, found: DataFrame | None) -> None:
+        """Colours of units or partitions, or none for the partitions' own; the display, if there is one, has them at once."""
+        self.colours = found
+        if self.display is not None:
+            self._draw(self.display)
+
+    def _draw(self, path: str) -> None:
         began = time.monotonic()
         own = self.assignment()
         key = "unit_id" if self.colours is not None and "unit_id" in self.colours.columns else "partition_id"
@@ -223,5 +270,5 @@ class Session:
         rings = geometry.outline_rings(self.boundaries, owners, key if key == "partition_id" else "owner")
         rings = rings if key == "partition_id" else rings.withColumnRenamed("owner", key)
         found = self.colours if self.colours is not None else own.select(key).distinct().withColumn("colour", colours.categorical(F.col(key)))
-        svg.draw(rings, found, value, key, geometry.polylines(self.boundaries) if self.show_counties else None)
+        svg.draw(rings, found, path, key, geometry.polylines(self.boundaries) if self.show_counties else None)
         self.clock.saw("plot", time.monotonic() - began)

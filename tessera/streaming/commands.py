@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,17 +23,27 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def steer(lines: DataFrame, session: Session, checkpoint: str, seconds: float = 1.0) -> StreamingQuery:
-    """Runs one frame of the session for each batch, and the batch's lines, in order, as commands. A batch is seen again
-    after a restart; its number tells, and it is then left out. Ends with the command exit."""
+    """Runs the session's frames in a thread of the driver, with or without input, and puts the lines of each batch, in
+    order, as messages, of which a frame takes one. The command exit, or a failing step, stops the query. A batch that
+    failed is seen again and left out by its number; a new process begins a new session, which is told the last batch again
+    if its end wasn't recorded."""
     seen = {"batch": -1}
 
     def batch(rows: DataFrame, number: int) -> None:
-        if number <= seen["batch"] or session.ended:
+        if number <= seen["batch"]:
             return
+        for r in rows.collect():  # what a person has typed since the last batch
+            session.put(r.value)
         seen["batch"] = number
-        text = [r.value for r in rows.collect()]  # what a person has typed since the last batch
-        session.frame(text[:1])
-        for line in text[1:]:
-            session.run(line)
 
-    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    query = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+    def frames() -> None:
+        try:
+            session.loop()
+        finally:
+            session.ended = True
+            query.stop()
+
+    threading.Thread(target=frames, name="session", daemon=True).start()
+    return query

@@ -136,7 +136,9 @@ def test_session(spark, made, tmp_path):
     said = []
     s = session.Session(spark, units, boundaries, adj, inter, 4, 1, votes, said.append)
     s.clock.step = s.clock.plot = 0.5
-    s.frame(["Temperature=0.5; population weight = 2; interp steps=5; interp temperature=0.1; interp population weight=4; interp"])
+    s.frame()
+    assert s.paused and not s.steps
+    s.frame(["unpause; Temperature=0.5; population weight = 2; interp steps=5; interp temperature=0.1; interp population weight=4; interp"])
     assert (s.parameters.temperature, s.parameters.population_weight, s.parameters.interp_step) == (0.5, 2.0, 1)
     for _ in range(6):
         s.chain.step()
@@ -144,6 +146,10 @@ def test_session(spark, made, tmp_path):
     assert s.parameters.temperature == pytest.approx(0.1)
     own = tmp_path / "Kept.csv"
     s.run(f"pause; Save={own}")
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "notes.txt").write_text("kept")
+    s.run(f"save={own}; save={tmp_path / 'mine'}")
+    assert "failed" in said.pop() and (tmp_path / "mine" / "notes.txt").exists()
     before = sorted(rows(s.assignment()))
     s.run("full shuffle")
     assert sorted(rows(s.assignment())) != before
@@ -168,22 +174,59 @@ def test_steps_per_frame():
     assert c.step == 0.5
 
 
+def test_one_message_a_frame_and_images(spark, made, tmp_path):
+    s = session.Session(spark, *made[:4], 4, 1, made[4], lambda _: None, display=str(tmp_path / "display.svg"))
+    s.frame(["temperature=3; exit; temperature=9", "temperature=4"])
+    assert s.parameters.temperature == 3.0 and s.ended and s.messages.qsize() == 1
+    assert not (tmp_path / "display.svg").exists()
+    s.run("show counties=true")  # drawn, though paused
+    assert s.clock.plot != 1.0 and "<polyline" in (tmp_path / "display.svg").read_text()
+    c = session.Clock(1.0, 0.1, 0.75)
+    assert c.steps_per_frame() == 2 and c.steps_per_frame(drawn=False) == 10
+
+
 def test_command_stream(spark, made, tmp_path):
-    said = []
-    s = session.Session(spark, *made[:4], 4, 1, made[4], said.append)
-    s.clock.step = 10.0
+    s = session.Session(spark, *made[:4], 4, 1, made[4], lambda _: None)
+    s.clock.frame = 0.05
     folder = tmp_path / "in"
     folder.mkdir()
     query = commands.steer(commands.read(spark, str(folder)), s, str(tmp_path / "checkpoint"), 0.1)
+
+    def soon(what):
+        until = time.monotonic() + 60
+        while not what() and time.monotonic() < until:
+            time.sleep(0.05)
+        return what()
+
     try:
-        (folder / "1.txt").write_text("temperature=0.25\npause\n")
-        query.processAllAvailable()
-        time.sleep(0.1)
+        (folder / "1.txt").write_text("temperature=0.25\nunpause\n")
+        assert soon(lambda: s.steps > 0) and s.parameters.temperature == 0.25
+        before = s.steps
+        assert soon(lambda: s.steps > before + 3)  # steps go on without input
         (folder / "2.txt").write_text("exit\n")
-        query.processAllAvailable()
+        assert query.awaitTermination(60) and s.ended
     finally:
         query.stop()
-    assert s.parameters.temperature == 0.25 and s.paused and s.ended
+
+
+def test_derived_tables_are_kept(spark, made, tmp_path, monkeypatch):
+    units, boundaries, adj, inter, votes = made
+    geo = boundaries.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("unit_id").cast("string").alias("GEOID")).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), F.col("geometry").alias("coordinates")).alias("geometry"))))
+    geo.coalesce(1).write.text(str(tmp_path / "counties"))
+    monkeypatch.setattr(cli.census, "prepare_counties", lambda base: str(tmp_path / "counties"))
+    monkeypatch.setattr(cli, "unit_moments", lambda *_: units)
+    a = cli.arguments(["--base", str(tmp_path), "--resolution", "60", "--personal-max-distance", "40"])
+    first = [sorted(rows(t)) for t in cli.tables(spark, a, [6])]
+    assert [len(t) > 0 for t in first] == [True] * 4 and first[2] == sorted(rows(adj))
+    rings = cli.tables(spark, a, [6])[1]
+    assert {r.unit_id for r in rings.collect()} <= {r.unit_id for r in units.collect()}
+
+    def never(*_):
+        raise AssertionError("computed again")
+
+    for module, name in ((cli, "unit_moments"), (cli.graphs, "adjacency"), (cli.graphs, "interactions"), (cli.geometry, "load_projected")):
+        monkeypatch.setattr(module, name, never)
+    assert [sorted(rows(t)) for t in cli.tables(spark, a, [6])] == first
 
 
 def test_commands_as_rows(spark):
