@@ -50,6 +50,8 @@ COPY_SHINGLE, SIMILAR, SLACK = 5, 0.8, 1e-6
 ORDER_SAMPLE, MOST_ORDERED = 10_000, 100_000
 #: Texts of a shingle that are held against all others in the first round, and how many times as many in each next one.
 FIRST_HUBS, MORE_HUBS = 4, 16
+#: Parts in which the texts of a shingle are put in order, before the first of each part are.
+ORDER_PARTS = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _VECTORS = [1 + i % 7 for i in range(BITS)]
 #: Mask v - 1: the bits that table v keeps.
@@ -200,9 +202,10 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """texts: (id, text). (id, n, words, place, shingle): the rarest of the n shingles of each text, as many as two texts
-    whose Jaccard similarity is `SIMILAR` can't both lack, and the place of each in the order."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("words", pa.int32()), ("place", pa.int32()), ("shingle", pa.int64())])
+    """texts: (id, text). (id, n, words, place, shingle, common): the rarest of the n shingles of each text, as many as two
+    texts whose Jaccard similarity is `SIMILAR` can't both lack, the place of each in the order, and whether it is among
+    the common ones."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("words", pa.int32()), ("place", pa.int32()), ("shingle", pa.int64()), ("common", pa.bool_())])
     known, times = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,14 +216,28 @@ def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFr
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 often = np.where(known[at] == found, times[at], 0)
             order = np.lexsort((found, often, doc))
-            doc, found = doc[order], found[order]
+            doc, found, often = doc[order], found[order], often[order]
             n = np.bincount(doc, minlength=batch.num_rows)
             place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
             held = place <= n[doc] - np.ceil(SIMILAR * n[doc] - SLACK)
             doc = doc[held]
-            yield record_batch(schema, {"id": batch.column(0).to_numpy()[doc], "n": n[doc].astype(np.int32), "words": n_words[doc].astype(np.int32), "place": place[held].astype(np.int32), "shingle": found[held].view(np.int64)})
+            yield record_batch(schema, {"id": batch.column(0).to_numpy()[doc], "n": n[doc].astype(np.int32), "words": n_words[doc].astype(np.int32), "place": place[held].astype(np.int32), "shingle": found[held].view(np.int64), "common": often[held] > 0})
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n int, words int, place int, shingle long")
+    return texts.select("id", "text").mapInArrow(run, "id long, n int, words int, place int, shingle long, common boolean")
+
+
+def _ranked(rows: DataFrame, hubs: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """rows: (id, shingle, root, share, ...). Rows with `rank`, from 1, for the first `hubs` texts of each shingle, null for
+    the others; and those first ones. The order: texts of the smaller classes, then those that share most. It is made in
+    parts and then among the first of each part, so that a shingle of very many texts isn't one task's."""
+    order = ("held", F.desc("share"), "id")
+    sizes = rows.groupBy("shingle", "root").agg(F.count("*").alias("held"))
+    parted = rows.join(sizes, ["shingle", "root"]).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(ORDER_PARTS)))
+    parted = materialize(parted.withColumn("part_rank", F.row_number().over(Window.partitionBy("shingle", "part").orderBy(*order))).drop("part"), "", f"{path}-parted")
+    first = parted.filter(F.col("part_rank") <= hubs).withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy(*order))).filter(F.col("rank") <= hubs)
+    first = materialize(first.drop("part_rank", "held"), "", f"{path}-first")
+    ranked = parted.drop("part_rank", "held").join(first.select("shingle", "id", "rank"), ["shingle", "id"], "left")
+    return ranked, first
 
 
 def similarity(a: str, b: str) -> float:
@@ -269,26 +286,24 @@ def near_copies(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     work = work_path(spark, "near")
     # a text that shares none of its rarest shingles goes no further
-    found = _prefixes(texts, _common(texts)).withColumn("among", F.count("*").over(Window.partitionBy("shingle")))
-    shared = materialize(found.filter("among > 1").drop("among"), "", f"{work}/shared")
+    # common shingles are known to be shared, so their rows needn't meet to be counted
+    apart = F.when(F.col("common"), F.xxhash64("id")).otherwise(F.lit(0).cast("long"))
+    found = _prefixes(texts, _common(texts)).withColumn("apart", apart).withColumn("among", F.count("*").over(Window.partitionBy("shingle", "apart")))
+    shared = materialize(found.filter("common or among > 1").drop("among", "apart", "common"), "", f"{work}/shared")
     release(spark)
     share = shared.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
     rows = materialize(shared.join(share, "id").withColumn("root", F.col("id")), "", f"{work}/rows-0")
     drop_path(spark, f"{work}/shared")
     checked, hubs, turn = None, FIRST_HUBS, 0
     while True:
-        # the texts of the smaller classes first, then those that share most, are held against all others of a shingle
-        sized = rows.withColumn("held", F.count("*").over(Window.partitionBy("shingle", "root")))
-        ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy("held", F.desc("share"), "id")))
-        rest = materialize(ranked.drop("held"), "", f"{work}/ranked-{turn}")
-        drop_path(spark, f"{work}/rows-{turn}")
-        release(spark)
-        hub = rest.filter(F.col("rank") <= hubs).select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root", "rank")))
+        # the first texts of a shingle are held against all others of it
+        rest, first = _ranked(rows, hubs, f"{work}/ranked-{turn}")
+        hub = first.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root", "rank")))
         # shingles that two texts at SIMILAR share at least; all of them are at or after the first shared one in order
         least = (F.col("n") + F.col("hub_n")) * (SIMILAR / (1 + SIMILAR)) - SLACK
         jaccard = (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= least) & (F.least("n", "hub_n") >= least)
         covered = F.least("words", "hub_words") >= F.greatest("words", "hub_words") * SIMILAR - SLACK
-        fits = (F.col("root") != F.col("hub_root")) & (F.col("rank") > F.col("hub_rank")) & (jaccard | covered)
+        fits = (F.col("root") != F.col("hub_root")) & (F.coalesce("rank", F.col("hub_rank") + 1) > F.col("hub_rank")) & (jaccard | covered)
         pairs = rest.join(hub, "shingle").filter(fits).select(F.greatest("id", "hub_id").alias("a"), F.least("id", "hub_id").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
@@ -298,17 +313,18 @@ def near_copies(texts: DataFrame) -> DataFrame:
         release(spark)
         checked = now if checked is None else checked.union(now)
         links = checked.filter("similar").select("a", "b")
-        rest = rest.filter(F.col("rank") > hubs).drop("rank")
+        rest = rest.filter("rank is null").drop("rank")
         if rest.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             break
         turn, hubs = turn + 1, hubs * MORE_HUBS
         roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "now")
         rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("now", "id")).drop("now")
         # what is left of a shingle and lies in one class needs no check
-        classes_of = Window.partitionBy("shingle")
-        rest = rest.withColumn("low", F.min("root").over(classes_of)).withColumn("high", F.max("root").over(classes_of)).filter("low < high").drop("low", "high")
-        rows = materialize(rest, "", f"{work}/rows-{turn}")
-        drop_path(spark, f"{work}/ranked-{turn - 1}")
+        mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+        rows = materialize(rest.join(mixed, "shingle", "left_semi"), "", f"{work}/rows-{turn}")
+        for name in (f"rows-{turn - 1}", f"ranked-{turn - 1}-parted", f"ranked-{turn - 1}-first"):
+            drop_path(spark, f"{work}/{name}")
+        release(spark)
         if rows.isEmpty():
             break
     return materialize(links, "copies")
