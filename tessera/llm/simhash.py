@@ -226,13 +226,19 @@ def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFr
     return texts.select("id", "text").mapInArrow(run, "id long, n int, words int, place int, shingle long, common boolean")
 
 
-def _ranked(rows: DataFrame, hubs: int, path: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(rows: DataFrame, hubs: int, path: str, single: bool) -> tuple[DataFrame, DataFrame]:
     """rows: (id, shingle, root, share, ...). Rows with `rank`, from 1, for the first `hubs` texts of each shingle, null for
     the others; and those first ones. The order: texts of the smaller classes, then those that share most. It is made in
-    parts and then among the first of each part, so that a shingle of very many texts isn't one task's."""
+    parts and then among the first of each part, so that a shingle of very many texts isn't one task's. single: each text is
+    a class of its own."""
     order = ("held", F.desc("share"), "id")
-    sizes = rows.groupBy("shingle", "root").agg(F.count("*").alias("held"))
-    parted = rows.join(sizes, ["shingle", "root"]).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(ORDER_PARTS)))
+    if single:
+        sized = rows.withColumn("held", F.lit(1).cast("long"))
+    else:
+        # written first, so that Spark can split a class of very many texts in the join
+        sizes = materialize(rows.groupBy("shingle", "root").agg(F.count("*").alias("held")), "", f"{path}-sizes")
+        sized = rows.join(sizes, ["shingle", "root"])
+    parted = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(ORDER_PARTS)))
     parted = materialize(parted.withColumn("part_rank", F.row_number().over(Window.partitionBy("shingle", "part").orderBy(*order))).drop("part"), "", f"{path}-parted")
     first = parted.filter(F.col("part_rank") <= hubs).withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy(*order))).filter(F.col("rank") <= hubs)
     first = materialize(first.drop("part_rank", "held"), "", f"{path}-first")
@@ -297,7 +303,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
     checked, hubs, turn = None, FIRST_HUBS, 0
     while True:
         # the first texts of a shingle are held against all others of it
-        rest, first = _ranked(rows, hubs, f"{work}/ranked-{turn}")
+        rest, first = _ranked(rows, hubs, f"{work}/ranked-{turn}", single=not turn)
         hub = first.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root", "rank")))
         # shingles that two texts at SIMILAR share at least; all of them are at or after the first shared one in order
         least = (F.col("n") + F.col("hub_n")) * (SIMILAR / (1 + SIMILAR)) - SLACK
@@ -322,7 +328,7 @@ def near_copies(texts: DataFrame) -> DataFrame:
         # what is left of a shingle and lies in one class needs no check
         mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
         rows = materialize(rest.join(mixed, "shingle", "left_semi"), "", f"{work}/rows-{turn}")
-        for name in (f"rows-{turn - 1}", f"ranked-{turn - 1}-parted", f"ranked-{turn - 1}-first"):
+        for name in (f"rows-{turn - 1}", *(f"ranked-{turn - 1}-{t}" for t in ("sizes", "parted", "first"))):
             drop_path(spark, f"{work}/{name}")
         release(spark)
         if rows.isEmpty():
