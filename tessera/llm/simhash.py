@@ -304,6 +304,9 @@ def near_copies(texts: DataFrame) -> DataFrame:
     while True:
         # the first texts of a shingle are held against all others of it
         rest, first = _ranked(rows, hubs, f"{work}/ranked-{turn}", single=not turn)
+        for name in (f"rows-{turn}", f"ranked-{turn}-sizes"):
+            drop_path(spark, f"{work}/{name}")
+        release(spark)
         hub = first.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root", "rank")))
         # shingles that two texts at SIMILAR share at least; all of them are at or after the first shared one in order
         least = (F.col("n") + F.col("hub_n")) * (SIMILAR / (1 + SIMILAR)) - SLACK
@@ -328,8 +331,8 @@ def near_copies(texts: DataFrame) -> DataFrame:
         # what is left of a shingle and lies in one class needs no check
         mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
         rows = materialize(rest.join(mixed, "shingle", "left_semi"), "", f"{work}/rows-{turn}")
-        for name in (f"rows-{turn - 1}", *(f"ranked-{turn - 1}-{t}" for t in ("sizes", "parted", "first"))):
-            drop_path(spark, f"{work}/{name}")
+        for name in ("parted", "first"):
+            drop_path(spark, f"{work}/ranked-{turn - 1}-{name}")
         release(spark)
         if rows.isEmpty():
             break
