@@ -32,6 +32,7 @@ of each component of all these links (null last, then the first as read), with a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ ORDER_SAMPLE, MOST_ORDERED = 10_000, 100_000
 FIRST_HUBS, MORE_HUBS = 4, 16
 #: Parts in which the texts of a shingle are put in order, before the first of each part are.
 ORDER_PARTS = 32
+#: Pairs that are verified without looking for spare ones first; pairs, and share of the texts, that move at a time.
+FEW_PAIRS, MOST_PAIRS, MOVED_SHARE = 10_000, 500_000, 0.5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _VECTORS = [1 + i % 7 for i in range(BITS)]
 #: Mask v - 1: the bits that table v keeps.
@@ -119,23 +122,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.select(low.alias("b"), F.explode("fps").alias("a")).filter("a <> b").select("a", "b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, under: str | None = None) -> DataFrame:
     """(node, root) for each node of `edges` (a, b); root is the least node of its component. The rounds' tables are dropped
-    once the next one is written."""
+    once the next one is written. under: the path that the last one goes with."""
     spark = edges.sparkSession
-    path, used = work_path(spark, "edges"), []
+    path, used = work_path(spark, "edges", under), []
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "", path)
     for _ in range(most_rounds):
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        used = [path, work_path(spark, "least")]
+        used = [path, work_path(spark, "least", under)]
         # written first, so that Spark can split a node with very many neighbours in the join
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "", used[1])
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its neighbours below go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a > b").distinct()
-        path = work_path(spark, "edges")
+        path = work_path(spark, "edges", under)
         edges = materialize(small, "", path)
         for old in used:
             drop_path(spark, old)
@@ -226,11 +229,10 @@ def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFr
     return texts.select("id", "text").mapInArrow(run, "id long, n int, words int, place int, shingle long, common boolean")
 
 
-def _ranked(rows: DataFrame, hubs: int, path: str, single: bool) -> tuple[DataFrame, DataFrame]:
-    """rows: (id, shingle, root, share, ...). Rows with `rank`, from 1, for the first `hubs` texts of each shingle, null for
-    the others; and those first ones. The order: texts of the smaller classes, then those that share most. It is made in
-    parts and then among the first of each part, so that a shingle of very many texts isn't one task's. single: each text is
-    a class of its own."""
+def _first(rows: DataFrame, hubs: int, path: str, single: bool) -> DataFrame:
+    """rows: (id, shingle, root, share, ...). The first `hubs` texts of each shingle, with `rank` from 1. The order: texts of
+    the smaller classes, then those that share most. It is made in parts and then among the first of each part, so that a
+    shingle of very many texts isn't one task's. single: each text is a class of its own."""
     order = ("held", F.desc("share"), "id")
     if single:
         sized = rows.withColumn("held", F.lit(1).cast("long"))
@@ -239,11 +241,9 @@ def _ranked(rows: DataFrame, hubs: int, path: str, single: bool) -> tuple[DataFr
         sizes = materialize(rows.groupBy("shingle", "root").agg(F.count("*").alias("held")), "", f"{path}-sizes")
         sized = rows.join(sizes, ["shingle", "root"])
     parted = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(ORDER_PARTS)))
-    parted = materialize(parted.withColumn("part_rank", F.row_number().over(Window.partitionBy("shingle", "part").orderBy(*order))).drop("part"), "", f"{path}-parted")
-    first = parted.filter(F.col("part_rank") <= hubs).withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy(*order))).filter(F.col("rank") <= hubs)
-    first = materialize(first.drop("part_rank", "held"), "", f"{path}-first")
-    ranked = parted.drop("part_rank", "held").join(first.select("shingle", "id", "rank"), ["shingle", "id"], "left")
-    return ranked, first
+    parted = parted.withColumn("part_rank", F.row_number().over(Window.partitionBy("shingle", "part").orderBy(*order))).filter(F.col("part_rank") <= hubs)
+    first = parted.withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy(*order))).filter(F.col("rank") <= hubs)
+    return materialize(first.drop("part", "part_rank", "held", "share"), "", f"{path}-first")
 
 
 def similarity(a: str, b: str) -> float:
@@ -270,12 +270,11 @@ def similarity(a: str, b: str) -> float:
     return max(len(shared) / (len(p) + len(q) - len(shared)), min(covered(x, shared), covered(y, shared)) / longest)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
-    """(a, b, similar) of each of `pairs` (a, b), by whole texts. Those in pairs are picked once, and written to `path`; a
-    pair then moves one text."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    picked = materialize(texts.join(named, "id", "left_semi"), "", path)
-    held = pairs.join(picked.select(F.col("id").alias("a"), F.col("text").alias("text")), "a").join(picked.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, n_texts: int, path: str) -> DataFrame:
+    """(a, b, similar) of each of `pairs` (a, b), by whole texts. As many pairs at a time as `MOST_PAIRS` and `MOVED_SHARE` let
+    go to all tasks; only the texts in them move, and their shuffles go before the next are made, so what lies on disk
+    doesn't grow with the pairs."""
+    spark = texts.sparkSession
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +282,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             yield record_batch(schema, {"a": a, "b": b, "similar": [similarity(s or "", t or "") >= SIMILAR for s, t in zip(x, y)]})
 
-    return held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long, similar boolean")
+    turns = max(1, -(-n_pairs // MOST_PAIRS), math.ceil(2 * n_pairs / max(1, n_texts) / MOVED_SHARE))
+    turn = lambda c: F.pmod(F.xxhash64(F.lit("turn"), c), F.lit(turns))
+    found = []
+    for k in range(turns):
+        now = pairs.select("a", "b").filter(turn("b") == k)
+        other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).filter(turn("b") == k).join(F.broadcast(now.select("b").distinct()), "b", "left_semi")
+        held = texts.select(F.col("id").alias("a"), "text").join(F.broadcast(now), "a").join(other, "b")
+        found.append(materialize(held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long, similar boolean"), "", f"{path}-checked-{k}"))
+        release(spark)
+    return spark.read.schema(found[0].schema).parquet(*(f"{path}-checked-{k}" for k in range(turns)))
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
+def near_copies(texts: DataFrame, under: str | None = None) -> DataFrame:
     """texts: (id, text), ids unique. (a, b) of verified near copies, whose components are those of all pairs at
-    `SIMILAR` or more."""
+    `SIMILAR` or more. under: the path that they go with."""
     spark = texts.sparkSession
     work = work_path(spark, "near")
     # a text that shares none of its rarest shingles goes no further
@@ -300,43 +308,70 @@ def near_copies(texts: DataFrame) -> DataFrame:
     share = shared.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
     rows = materialize(shared.join(share, "id").withColumn("root", F.col("id")), "", f"{work}/rows-0")
     drop_path(spark, f"{work}/shared")
+    n_texts = texts.count()
     checked, hubs, turn = None, FIRST_HUBS, 0
+
+    def verified(pairs: DataFrame, n: int, name: str) -> None:
+        nonlocal checked
+        now = _verified(pairs, n, texts, n_texts, f"{work}/{name}-{turn}")
+        checked = now if checked is None else checked.union(now)
+
     while True:
         # the first texts of a shingle are held against all others of it
-        rest, first = _ranked(rows, hubs, f"{work}/ranked-{turn}", single=not turn)
-        for name in (f"rows-{turn}", f"ranked-{turn}-sizes"):
-            drop_path(spark, f"{work}/{name}")
+        first = _first(rows, hubs, f"{work}/ranked-{turn}", single=not turn)
+        drop_path(spark, f"{work}/ranked-{turn}-sizes")
         release(spark)
-        hub = first.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root", "rank")))
+        hub = first.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "words", "place", "root")))
         # shingles that two texts at SIMILAR share at least; all of them are at or after the first shared one in order
         least = (F.col("n") + F.col("hub_n")) * (SIMILAR / (1 + SIMILAR)) - SLACK
         jaccard = (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= least) & (F.least("n", "hub_n") >= least)
         covered = F.least("words", "hub_words") >= F.greatest("words", "hub_words") * SIMILAR - SLACK
-        fits = (F.col("root") != F.col("hub_root")) & (F.coalesce("rank", F.col("hub_rank") + 1) > F.col("hub_rank")) & (jaccard | covered)
-        pairs = rest.join(hub, "shingle").filter(fits).select(F.greatest("id", "hub_id").alias("a"), F.least("id", "hub_id").alias("b")).distinct()
+        fits = (F.col("root") != F.col("hub_root")) & (jaccard | covered)
+        pairs = rows.drop("share").join(hub, "shingle").filter(fits).groupBy(F.greatest("id", "hub_id").alias("a"), F.least("id", "hub_id").alias("b")).agg(F.count("*").alias("times"))
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        now = materialize(_verified(materialize(pairs, "", f"{work}/pairs-{turn}"), texts, f"{work}/picked-{turn}"), "", f"{work}/checked-{turn}")
-        for name in ("pairs", "picked"):
-            drop_path(spark, f"{work}/{name}-{turn}")
+        pairs = materialize(pairs, "", f"{work}/pairs-{turn}")
         release(spark)
-        checked = now if checked is None else checked.union(now)
+        n_pairs = pairs.count()
+        if n_pairs > FEW_PAIRS:
+            # each text with the one that it shares most with; of the other pairs, those that these don't link already
+            best = materialize(pairs.groupBy("a").agg(F.max(F.struct("times", F.col("b").alias("b"))).alias("m")).select("a", "m.b"), "", f"{work}/best-{turn}")
+            verified(best, best.count(), "best")
+            roots = materialize(components(checked.filter("similar").select("a", "b"), under=work), "", f"{work}/roots-{turn}")
+            left = pairs.join(best, ["a", "b"], "left_anti")
+            for end in "ab":
+                left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            left = materialize(left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "", f"{work}/left-{turn}")
+            for name in ("pairs", "best", "roots"):
+                drop_path(spark, f"{work}/{name}-{turn}")
+            verified(left, left.count(), "rest")
+            drop_path(spark, f"{work}/left-{turn}")
+        else:
+            verified(pairs, n_pairs, "all")
+            drop_path(spark, f"{work}/pairs-{turn}")
         links = checked.filter("similar").select("a", "b")
-        rest = rest.filter("rank is null").drop("rank")
+        # shingles with more texts than were held against all others
+        more = first.filter(F.col("rank") == hubs).select("shingle")
+        rest = rows.join(more, "shingle", "left_semi").join(first.select("shingle", "id"), ["shingle", "id"], "left_anti")
+        rest = materialize(rest.drop("root"), "", f"{work}/rest-{turn}")
+        for name in (f"rows-{turn}", f"ranked-{turn}-first"):
+            drop_path(spark, f"{work}/{name}")
+        release(spark)
         if rest.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             break
-        turn, hubs = turn + 1, hubs * MORE_HUBS
-        roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "now")
+        roots = components(links, under=work).withColumnRenamed("node", "id").withColumnRenamed("root", "now")
         rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("now", "id")).drop("now")
+        turn, hubs = turn + 1, hubs * MORE_HUBS
         # what is left of a shingle and lies in one class needs no check
         mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
         rows = materialize(rest.join(mixed, "shingle", "left_semi"), "", f"{work}/rows-{turn}")
-        for name in ("parted", "first"):
-            drop_path(spark, f"{work}/ranked-{turn - 1}-{name}")
+        drop_path(spark, f"{work}/rest-{turn - 1}")
         release(spark)
         if rows.isEmpty():
             break
-    return materialize(links, "copies")
+    found = materialize(links, "", work_path(spark, "copies", under))
+    drop_path(spark, work)
+    return found
 
 
 def text_keys(texts: pa.Array) -> pa.Array:
@@ -349,22 +384,26 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of `docs`."""
     spark = docs.sparkSession
     print_and_key = lambda: lambda texts: [pa.array(fingerprints(texts).view(np.int64)), text_keys(texts)]
-    held = materialize(annotate(docs, docs.columns, print_and_key, "fp long, key binary").withColumn("id", F.monotonically_increasing_id()), "simhash")
+    work = work_path(spark, "dedup")
+    held = materialize(annotate(docs, docs.columns, print_and_key, "fp long, key binary").withColumn("id", F.monotonically_increasing_id()), "", f"{work}/simhash")
     order = F.struct(F.col("row.doc_id").isNull().alias("x"), F.col("row.doc_id").alias("y"), F.col("id").alias("z"))
     # one row for each distinct text stands for it; equal texts have equal fingerprints
-    distinct = materialize(held.groupBy("key").agg(F.min(order).alias("first"), F.first("fp").alias("fp")).select("first", "fp", F.col("first.z").alias("id")), "first")
-    by_fp = materialize(distinct.groupBy("fp").agg(F.min("id").alias("of_fp")), "fingerprints")
+    distinct = materialize(held.groupBy("key").agg(F.min(order).alias("first"), F.first("fp").alias("fp")).select("first", "fp", F.col("first.z").alias("id")), "", f"{work}/first")
+    # others can't stay, so these rows are all that is needed from here on
+    kept = work_path(spark, "distinct")
+    rows = materialize(held.select("id", "row").join(distinct.select("id"), "id", "left_semi"), "", kept)
+    drop_path(spark, f"{work}/simhash")
+    release(spark)
+    by_fp = materialize(distinct.groupBy("fp").agg(F.min("id").alias("of_fp")), "", f"{work}/fingerprints")
     ends = by_fp.select(F.col("fp").alias("a"), F.col("of_fp").alias("a_id")), by_fp.select(F.col("fp").alias("b"), F.col("of_fp").alias("b_id"))
     prints = links(by_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     same = distinct.join(by_fp, "fp").filter("id <> of_fp").select(F.col("id").alias("a"), F.col("of_fp").alias("b"))
-    path = work_path(spark, "texts")
-    texts = materialize(held.select("id", F.col("row.text").alias("text")).join(distinct.select("id"), "id", "left_semi"), "", path)
-    release(spark)
-    linked = components(prints.union(same).union(near_copies(texts)))
-    drop_path(spark, path)
-    release(spark)
+    linked = components(prints.union(same).union(near_copies(rows.select("id", F.col("row.text").alias("text")), work)), under=work)
     last = distinct.join(linked, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id")).agg(F.min("first").alias("first"))
-    return held.join(last.select(F.col("first.z").alias("id")), "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    last = materialize(last.select(F.col("first.z").alias("id")), "last")
+    drop_path(spark, work)
+    release(spark)
+    return rows.join(last, "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op9_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import langid, licenses, mixing, quality, queries, simhash, urltree
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, shared_dir
 
 from .conftest import TEXTS, listed
 
@@ -568,6 +568,31 @@ def lost_pairs(spark, rows):
     return len(pairs), [(i, j) for i, j in pairs if root(i) != root(j)]
 
 
+def test_pairs_verified_in_parts_lose_none(spark, monkeypatch):
+    """As many pairs as don't go at once are verified in parts, those that the best ones don't link already."""
+    for name, few in (("FEW_PAIRS", 0), ("MOST_PAIRS", 40)):
+        monkeypatch.setattr(simhash, name, few)
+    rng, rows = random.Random(3), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(6):
+            copy = list(words)
+            copy[rng.randrange(60)] = "x"
+            rows.append((len(rows), " ".join(copy)))
+    n, lost = lost_pairs(spark, rows)
+    assert n >= 12 * 15 and not lost
+
+
+def test_dedup_and_mix_leave_only_what_their_results_read(spark, docs):
+    folder = shared_dir(spark).removeprefix("file://") + "/tessera"
+    held = lambda: set(os.listdir(folder)) if os.path.exists(folder) else set()
+    for stage, names in ((simhash.dedup, ["distinct", "last"]), (mixing.mix, ["mix"])):
+        before = held()
+        found = stage(docs)
+        assert sorted(x.split("-")[0] for x in held() - before) == names and found.count() > 0
+
+
+
 def test_edits_of_edits_are_linked(spark):
     rng = random.Random(1)
     rows = []
