@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,12 +44,14 @@ class Lambert:
 
     @classmethod
     def of_bounds(cls, min_lon: float, max_lon: float, min_lat: float, max_lat: float) -> "Lambert":
-        west, east, south, north = map(math.radians, (min_lon, max_lon, min_lat, max_lat))
-        cone = lambda lat: math.tan(math.pi / 4 + lat / 2)
-        n = math.log(math.cos(north) / math.cos(south)) / math.log(cone(south) / cone(north))
-        f = math.cos(north) * cone(north) ** n / n
+        """Bounds beyond a pole, whose cosines differ in sign, have no such cone: its numbers, and what it projects, are NaN."""
+        west, east, south, north = (np.radians(np.float64(x)) for x in (min_lon, max_lon, min_lat, max_lat))
+        cone = lambda lat: np.tan(np.pi / 4 + lat / 2)
         mid = (south + north) / 2
-        return cls((west + east) / 2, mid, n, f, f / cone(mid) ** n)
+        with np.errstate(all="ignore"):  # as SQL has it
+            n = np.log(np.cos(north) / np.cos(south)) / np.log(cone(south) / cone(north))
+            f = np.cos(north) * cone(north) ** n / n
+            return cls(*(float(x) for x in ((west + east) / 2, mid, n, f, f / cone(mid) ** n)))
 
     def project(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         rho = self.f * F.pow(F.cot(math.pi / 4 + F.radians(lat) / 2), F.lit(self.n))

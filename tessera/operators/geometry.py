@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -131,8 +132,6 @@ def overlapping_edges(boundaries: DataFrame) -> DataFrame:
 def _walk(edges: list[tuple[tuple, tuple]], rings: bool) -> list[list[tuple]]:
     """Trails that use each edge once. rings: at a point with several ways on, the sharpest turn to the left, so that
     rings which touch at a point are kept apart; otherwise the least point."""
-    import math
-
     near: dict[tuple, set[tuple]] = {}
     for a, b in edges:
         near.setdefault(a, set()).add(b)
@@ -202,7 +201,10 @@ def load_projected(boundaries: DataFrame, units: DataFrame, resolution: int = 10
     """The boundaries of `units`, projected and, if the resolution is above 0, on a grid of so many cells along the
     shorter side: rings (unit_id, line, points)."""
     chosen = boundaries.join(units.select("unit_id"), "unit_id", "left_semi")
-    flat = project(chosen, fit_lambert(chosen))
+    projection = fit_lambert(chosen)
+    if math.isnan(projection.rho_ref):
+        raise ValueError("the units' bounds have no projection; do they reach beyond a pole?")
+    flat = project(chosen, projection)
     if resolution <= 0:
         return flat.select("unit_id", F.posexplode(F.flatten("geometry")).alias("line", "points"))
     r = total_bounds(flat).first()

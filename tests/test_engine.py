@@ -90,6 +90,17 @@ def test_closed_forms(spark):
     assert v[0] == pytest.approx(1) and v[5] == pytest.approx(1)
 
 
+def test_bounds_beyond_a_pole_project_to_nan(spark):
+    """As the SQL of lambert_project has it; images of such units are refused."""
+    beyond = geo.Lambert.of_bounds(-124, -114, 25, 137.5)
+    x, y = spark.range(1).select(*beyond.project(F.lit(-120.0), F.lit(40.0))).first()
+    assert math.isnan(x) and math.isnan(y)
+    ring = [[-124.0, 25.0], [-124.0, 137.5], [-114.0, 137.5], [-124.0, 25.0]]
+    boundaries = spark.createDataFrame([(1, [[ring]])], "unit_id long, geometry array<array<array<array<double>>>>")
+    with pytest.raises(ValueError, match="projection"):
+        geometry.load_projected(boundaries, boundaries.select("unit_id"), 0)
+
+
 def test_interactions_equal_all_pairs(spark, sf_dir):
     units = X.units(spark, sf_dir).cache()
     held = [r.asDict() for r in units.collect()]
