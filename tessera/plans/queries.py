@@ -292,7 +292,8 @@ def interp_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> chains.Graph:
-    return chains.Graph.collect(X.units(spark, d), materialize(X.brick_adjacency(spark, d), "adjacency"), materialize(X.interactions(spark, d), "interactions"))
+    units = materialize(X.units(spark, d), "units")
+    return chains.Graph.spread(units, materialize(X.brick_adjacency(spark, d), "adjacency"), materialize(graphs.interactions(units, X.SIGMA_KM, X.RADIUS_KM), "interactions"))
 
 
 @query()
@@ -300,21 +301,17 @@ def random_connected_partition(spark: SparkSession, d: str) -> DataFrame:
     return chains.random_connected(spark.range(CHAINS).select(F.col("id").alias("seed")).repartition(CHAINS), _graph(spark, d), 16)
 
 
-def _start(spark: SparkSession, d: str) -> list[tuple[int, int]]:
-    return [(r.unit_id, r.partition_id) for r in X.blocky(spark, d).collect()]
-
-
 @query()
 def anneal_chain(spark: SparkSession, d: str) -> DataFrame:
     one = spark.createDataFrame([(0, SEED, 1.0, 1.0)], "chain long, seed long, temperature double, population_weight double")
-    return chains.anneal(one, _graph(spark, d), _start(spark, d), STEPS)
+    return chains.anneal(one, _graph(spark, d), X.blocky(spark, d), STEPS)
 
 
 @query()
 def anneal_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """Chains of several temperatures side by side."""
     rows = spark.range(CHAINS).select(F.col("id").alias("chain"), (F.col("id") + SEED).alias("seed"), F.pow(F.lit(0.5), F.col("id")).alias("temperature"), F.lit(1.0).alias("population_weight"))
-    return chains.anneal(rows.repartition(CHAINS), _graph(spark, d), _start(spark, d), STEPS, "assignment")
+    return chains.anneal(rows.repartition(CHAINS), _graph(spark, d), X.blocky(spark, d), STEPS, "assignment")
 
 
 # --- geometry -----------------------------------------------------------------------------------------------------

@@ -245,6 +245,21 @@ def test_chains_are_reproducible(spark, region):
     assert a == b and [r[1:] for r in a if r[0] == 0] == [r[1:] for r in a if r[0] == 1] != [r[1:] for r in a if r[0] == 2]
 
 
+def test_blocks_of_interactions_give_the_same_chains(spark, region, monkeypatch):
+    """Interactions may be more than a worker holds; a task reads them in blocks."""
+    units, adj, inter, strips = region
+    table = spark.createDataFrame([(k, k, 1.0, 1.0) for k in range(2)], "chain long, seed long, temperature double, population_weight double")
+    whole = sorted(rows(chains.anneal(table, chains.Graph.collect(units, adj, inter), strips, 15)))
+    for name, n in (("MOST_EDGES", adj.count()), ("BLOCK_EDGES", 40), ("BLOCKS_HELD", 2)):
+        monkeypatch.setattr(chains, name, n)
+    graph = chains.Graph.spread(units, adj, inter)
+    assert len(graph.reach.blocks) > 5 and sorted(rows(chains.anneal(table, graph, strips, 15))) == whole
+    with pytest.raises(ValueError, match="fit"):
+        chains.Graph.collect(units, adj, inter)
+    with pytest.raises(ValueError, match="partition"):
+        graph.aligned(strips.limit(1))
+
+
 def test_gumbel_follows_the_softmax(spark):
     n, scores = 4000, [0.0, 0.5, -1.0, 1.5]
     table = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "unit_id long, score double").withColumn("dst_partition", F.lit(1)).withColumn("legal", F.col("unit_id") != 3)
