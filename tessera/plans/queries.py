@@ -298,7 +298,8 @@ def _graph(spark: SparkSession, d: str) -> chains.Graph:
 
 @query()
 def random_connected_partition(spark: SparkSession, d: str) -> DataFrame:
-    return chains.random_connected(spark.range(CHAINS).select(F.col("id").alias("seed")).repartition(CHAINS), _graph(spark, d), 16)
+    graph = chains.Graph.of_units(X.units(spark, d), materialize(X.brick_adjacency(spark, d), "adjacency"))
+    return chains.random_connected(spark.range(CHAINS).select(F.col("id").alias("seed")).repartition(CHAINS), graph, 16)
 
 
 @query()

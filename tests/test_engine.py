@@ -260,6 +260,14 @@ def test_blocks_of_interactions_give_the_same_chains(spark, region, monkeypatch)
         graph.aligned(strips.limit(1))
 
 
+def test_growing_needs_no_interactions(spark, region, monkeypatch):
+    units, adj, inter, _ = region
+    monkeypatch.setattr(chains, "MOST_EDGES", adj.count())
+    graph = chains.Graph.of_units(units, adj)
+    found = {(r.seed, r.unit_id): r.partition_id for r in chains.random_connected(spark.range(2).withColumnRenamed("id", "seed"), graph, 4).collect()}
+    assert found == {(s, u): p for s in range(2) for u, p in chains.grow(graph, 4, s).items()} and len(found) == 2 * units.count()
+
+
 def test_gumbel_follows_the_softmax(spark):
     n, scores = 4000, [0.0, 0.5, -1.0, 1.5]
     table = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "unit_id long, score double").withColumn("dst_partition", F.lit(1)).withColumn("legal", F.col("unit_id") != 3)
