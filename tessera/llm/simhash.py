@@ -17,7 +17,8 @@ many can't be afforded. So `dedup` also links, by `near_copies`, distinct texts
 whose Jaccard similarity is `SIMILAR` or more, or of whose words that share or more lies in shared shingles (in both,
 of the longer one's words), since each changed word breaks five shingles but is one word. Shingles are put in an order, rare
 ones first. Two texts at a Jaccard similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles each, so
-the texts that meet there and are about as long are candidates, and are verified on whole texts. Of a shingle that many
+the texts that meet there and are about as long are candidates, and are verified on whole texts. Where many are, bitmaps of
+shingles are held against codes of shingles first: these tell of most pairs that are not similar, and of none that is. Of a shingle that many
 texts have, a few are held against all others, then, in rounds, more and more, until what is left lies in
 one component: only pairs that are linked already, directly or not, are left out. So no pair at a Jaccard similarity of 0.8 is
 lost but by colliding 64-bit hashes. A pair below it whose words are covered is found if one of the rarest fifth of its
@@ -53,6 +54,8 @@ ORDER_SAMPLE, MOST_ORDERED = 10_000, 100_000
 FIRST_HUBS, MORE_HUBS = 4, 16
 #: Parts in which the texts of a shingle are put in order, before the first of each part are.
 ORDER_PARTS = 32
+#: Bits of a sketch for each distinct shingle, a multiple of 8: one in nine others seems to be there. Bits of a shingle's code.
+SKETCH_BITS, CODE_BITS = 8, 16
 #: Pairs that are verified without looking for spare ones first; pairs, and share of the texts, that move at a time.
 FEW_PAIRS, MOST_PAIRS, MOVED_SHARE = 10_000, 500_000, 0.5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -162,28 +165,86 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
 
 
-def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct 5-word shingles of each text, a shorter text being one and an empty one having none;
-    and the words of each text."""
-    words = Words(texts, WHITE_SPACE_LOWER)
+def _ordered(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash) of the 5-word shingles of texts of as many words, in order, repeats included; and the hash of each word."""
     listed = words.listed()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in listed), np.uint64, len(listed))[words.word]
     starts, doc = words.windows(COPY_SHINGLE)
     found = np.zeros(len(starts), np.uint64)
     for i in range(COPY_SHINGLE):
         found = found * _ODD + hashes[starts + i]
+    return doc, found, hashes
+
+
+def _distinct(doc: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((found, doc))
+    doc, found = doc[order], found[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+    return doc[first], found[first]
+
+
+def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct 5-word shingles of each text, a shorter text being one and an empty one having none;
+    and the words of each text."""
+    words = Words(texts, WHITE_SPACE_LOWER)
+    doc, found, hashes = _ordered(words)
     short = np.flatnonzero((words.lengths > 0) & (words.lengths < COPY_SHINGLE))
     whole = np.zeros(len(short), np.uint64)
     for i in range(COPY_SHINGLE - 1):
         held = words.lengths[short] > i
         whole[held] = whole[held] * _ODD + hashes[words.begins[short[held]] + i]
     found = _mixed(np.concatenate([found, whole + words.lengths[short].astype(np.uint64)]))
-    doc = np.concatenate([doc, short])
-    order = np.lexsort((found, doc))
-    doc, found = doc[order], found[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
-    return doc[first], found[first], words.lengths
+    return *_distinct(np.concatenate([doc, short]), found), words.lengths
+
+
+def _binary(n: np.ndarray, data: np.ndarray) -> pa.Array:
+    """`data` cut into stretches of n[i] bytes."""
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a binary column begins, with an end, and the bytes."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset), np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def sketches(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Of each text of `COPY_SHINGLE` words or more: a code of two bytes for each shingle, in order; a bitmap of about
+    `SKETCH_BITS` for each distinct one, in which its code sets a bit; how many these are; and of each text, its words."""
+    words = Words(texts, WHITE_SPACE_LOWER)
+    doc, found, _ = _ordered(words)
+    found = _mixed(found)
+    code = (found >> np.uint64(64 - CODE_BITS)).astype("<u2")
+    n = np.bincount(_distinct(doc, found)[0], minlength=len(texts))
+    size = np.minimum(n * SKETCH_BITS, 1 << CODE_BITS) // 8
+    bit = code % (8 * size)[doc]
+    bits = np.zeros(size.sum(), np.uint8)
+    np.bitwise_or.at(bits, (np.cumsum(size) - size)[doc] + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return _binary(2 * np.bincount(doc, minlength=len(texts)), code), _binary(size, bits), n, words.lengths
+
+
+def likely(codes: pa.Array, sketch: pa.Array, n: np.ndarray, other_n: np.ndarray, words: np.ndarray, other_words: np.ndarray) -> np.ndarray:
+    """Whether the text that codes[i], n[i] and words[i] are of and that of sketch[i], other_n[i] and other_words[i] may be
+    similar; it is False only if they aren't. A shingle that both have is always found in the bitmap, so what is counted
+    here is no less than what they share. Texts without shingles may be."""
+    (first, code), (begins, bits) = _bytes(codes), _bytes(sketch)
+    code = code.view("<u2")
+    held, size = np.diff(first) // 2, 8 * np.diff(begins)
+    out = (held == 0) | (size == 0)
+    held = np.where(out, 0, held)
+    owner = np.repeat(np.arange(len(held)), held)
+    at = np.arange(held.sum()) + np.repeat(first[:-1] // 2 - (np.cumsum(held) - held), held)
+    bit = code[at] % size[owner]
+    hit = np.flatnonzero(bits[begins[owner] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1)
+    by = owner[hit]
+    covers = np.full(len(hit), COPY_SHINGLE)
+    covers[1:] = np.where(by[1:] == by[:-1], np.minimum(COPY_SHINGLE, np.diff(at[hit])), COPY_SHINGLE)
+    shared, covered = np.bincount(by, minlength=len(held)), np.bincount(by, covers, minlength=len(held))
+    jaccard = shared >= (n + other_n) * (SIMILAR / (1 + SIMILAR)) - SLACK
+    return out | jaccard | (covered >= np.maximum(words, other_words) * SIMILAR - SLACK)
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -270,28 +331,72 @@ def similarity(a: str, b: str) -> float:
     return max(len(shared) / (len(p) + len(q) - len(shared)), min(covered(x, shared), covered(y, shared)) / longest)
 
 
+def _turns(n_pairs: int, n_texts: int, moved: int) -> int:
+    """Turns in which pairs go to all tasks, if each moves so many texts."""
+    return max(1, -(-n_pairs // MOST_PAIRS), math.ceil(moved * n_pairs / max(1, n_texts) / MOVED_SHARE))
+
+
+def _weighed(pairs: DataFrame, n_pairs: int, texts: DataFrame, n_texts: int, path: str) -> DataFrame:
+    """(a, b, likely) of each of `pairs` (a, b). Texts don't move: of a, a bitmap does for each pair, of about a byte a word, and
+    of b two bytes a word, once for all its pairs of a turn."""
+    spark = texts.sparkSession
+    drawn_schema = pa.schema([("id", pa.int64()), ("codes", pa.binary()), ("sketch", pa.binary()), ("n", pa.int64()), ("words", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likely", pa.bool_())])
+
+    def drawn(batches: Iterator[pa.RecordBatch], end: str) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            codes, sketch, n, words = sketches(batch.column(1))
+            none = pa.nulls(len(n), pa.binary())
+            yield record_batch(drawn_schema, {"id": batch.column(0), "codes": codes.cast(pa.binary()) if end == "b" else none, "sketch": sketch.cast(pa.binary()) if end == "a" else none, "n": n, "words": words})
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "codes", 1 << 20):
+            n, other_n, words, other_words = (batch.column(i).to_numpy() for i in range(4, 8))
+            yield record_batch(schema, {"a": batch.column(0), "b": batch.column(1), "likely": likely(batch.column(2), batch.column(3), n, other_n, words, other_words)})
+
+    turns = _turns(n_pairs, n_texts, 1)
+    turn = lambda c: F.pmod(F.xxhash64(F.lit("turn"), c), F.lit(turns))
+    for k in range(turns):
+        now = pairs.select("a", "b").filter(turn("b") == k)
+        ends = {}
+        for c in "ab":
+            of = texts.select("id", "text").join(F.broadcast(now.select(F.col(c).alias("id")).distinct()), "id", "left_semi")
+            of = of.mapInArrow(lambda batches, c=c: drawn(batches, c), "id long, codes binary, sketch binary, n long, words long")
+            ends[c] = of.select(F.col("id").alias(c), "codes" if c == "b" else "sketch", F.col("n").alias(f"n_{c}"), F.col("words").alias(f"words_{c}"))
+        held = ends["a"].join(F.broadcast(now), "a").join(ends["b"], "b").select("a", "b", "codes", "sketch", "n_b", "n_a", "words_b", "words_a")
+        materialize(held.mapInArrow(weigh, "a long, b long, likely boolean"), "", f"{path}-weighed-{k}")
+        release(spark)
+    return spark.read.schema("a long, b long, likely boolean").parquet(*(f"{path}-weighed-{k}" for k in range(turns)))
+
+
 def _verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, n_texts: int, path: str) -> DataFrame:
-    """(a, b, similar) of each of `pairs` (a, b), by whole texts. As many pairs at a time as `MOST_PAIRS` and `MOVED_SHARE` let
-    go to all tasks; only the texts in them move, and their shuffles go before the next are made, so what lies on disk
-    doesn't grow with the pairs."""
+    """(a, b, similar) of each of `pairs` (a, b), by whole texts, but for those that sketches show not to be similar. As many
+    pairs at a time as `MOST_PAIRS` and `MOVED_SHARE` let go to all tasks; only the texts in them move, and their shuffles go
+    before the next are made, so what lies on disk doesn't grow with the pairs."""
     spark = texts.sparkSession
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_())])
+    apart = None
+    if n_pairs > FEW_PAIRS:
+        weighed = _weighed(pairs, n_pairs, texts, n_texts, path)
+        apart = weighed.filter("not likely").select("a", "b", F.lit(False).alias("similar"))
+        pairs = weighed.filter("likely")
+        n_pairs = pairs.count()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             yield record_batch(schema, {"a": a, "b": b, "similar": [similarity(s or "", t or "") >= SIMILAR for s, t in zip(x, y)]})
 
-    turns = max(1, -(-n_pairs // MOST_PAIRS), math.ceil(2 * n_pairs / max(1, n_texts) / MOVED_SHARE))
+    turns = _turns(n_pairs, n_texts, 2)
     turn = lambda c: F.pmod(F.xxhash64(F.lit("turn"), c), F.lit(turns))
-    found = []
     for k in range(turns):
         now = pairs.select("a", "b").filter(turn("b") == k)
         other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).filter(turn("b") == k).join(F.broadcast(now.select("b").distinct()), "b", "left_semi")
         held = texts.select(F.col("id").alias("a"), "text").join(F.broadcast(now), "a").join(other, "b")
-        found.append(materialize(held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long, similar boolean"), "", f"{path}-checked-{k}"))
+        materialize(held.select("a", "b", "text", "text_b").mapInArrow(verify, "a long, b long, similar boolean"), "", f"{path}-checked-{k}")
         release(spark)
-    return spark.read.schema(found[0].schema).parquet(*(f"{path}-checked-{k}" for k in range(turns)))
+    found = spark.read.schema("a long, b long, similar boolean").parquet(*(f"{path}-checked-{k}" for k in range(turns)))
+    return found if apart is None else found.union(apart)
 
 
 def near_copies(texts: DataFrame, under: str | None = None) -> DataFrame:
@@ -380,6 +485,16 @@ def text_keys(texts: pa.Array) -> pa.Array:
     return pa.array([xxhash.xxh3_128_digest(b" ".join(t.split())) for t in translated(texts, WHITE_SPACE_LOWER).to_pylist()], pa.binary())
 
 
+def _with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """`rows` whose id is among `ids`, which go to all tasks as bitmaps, a bit for each id up to the largest of a partition: the
+    rows, with their texts, don't move."""
+    block = F.shiftright("id", 15)
+    maps = ids.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.col("id").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    byte = "cast(conv(hex(substring(bits, cast(shiftright(id & 32767, 3) + 1 as int), 1)), 16, 10) as int)"
+    held = F.expr(f"({byte} & shiftleft(1, cast(id & 7 as int))) <> 0")
+    return rows.withColumn("block", block).join(F.broadcast(maps), "block").filter(held).drop("block", "bits")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of `docs`."""
     spark = docs.sparkSession
@@ -391,7 +506,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     distinct = materialize(held.groupBy("key").agg(F.min(order).alias("first"), F.first("fp").alias("fp")).select("first", "fp", F.col("first.z").alias("id")), "", f"{work}/first")
     # others can't stay, so these rows are all that is needed from here on
     kept = work_path(spark, "distinct")
-    rows = materialize(held.select("id", "row").join(distinct.select("id"), "id", "left_semi"), "", kept)
+    rows = materialize(_with_ids(held.select("id", "row"), distinct.select("id")), "", kept)
     drop_path(spark, f"{work}/simhash")
     release(spark)
     by_fp = materialize(distinct.groupBy("fp").agg(F.min("id").alias("of_fp")), "", f"{work}/fingerprints")
@@ -403,7 +518,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     last = materialize(last.select(F.col("first.z").alias("id")), "last")
     drop_path(spark, work)
     release(spark)
-    return rows.join(last, "id", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    return _with_ids(rows, last).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op9_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -583,6 +583,54 @@ def test_pairs_verified_in_parts_lose_none(spark, monkeypatch):
     assert n >= 12 * 15 and not lost
 
 
+def test_sketches_are_sound():
+    """No similar pair is taken for an unlike one, and most unlike pairs are found."""
+    rng, texts = random.Random(8), []
+    for _ in range(300):
+        words = [some_word(rng) for _ in range(rng.randrange(3, 300))]
+        copy = edited(rng, words, rng.randrange(len(words) // 4 + 1))
+        texts.append((" ".join(words), " ".join(copy * rng.randrange(1, 3) if rng.random() < 0.1 else copy[rng.randrange(3) :])))
+    texts += [(a, d) for (a, _), (_, d) in zip(texts, texts[1:])] + [("x x x x x x x", "X x  x x x x"), ("", "a"), (None, ""), ("a b c d", "a b c d")]
+    x, y = (pa.array(t, pa.string()) for t in zip(*texts))
+    (_, sketch, n, words), (codes, _, own_n, own_words) = simhash.sketches(x), simhash.sketches(y)
+    found = simhash.likely(codes, sketch, own_n, n, own_words, words)
+    similar = np.array([simhash.similarity(a or "", b or "") >= simhash.SIMILAR for a, b in texts])
+    assert similar.sum() > 100 and not (similar & ~found).any() and found[300:599].sum() < 60
+    assert (simhash.likely(codes[7:], sketch[7:], own_n[7:], n[7:], own_words[7:], words[7:]) == found[7:]).all()
+
+
+def test_texts_that_only_share_a_passage_do_not_move(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW_PAIRS", 0)
+    written, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag, path=None, *rest: written.append((path or tag, write(df, tag, path, *rest))) or written[-1][1])
+    monkeypatch.setattr(simhash, "drop_path", lambda *_: None)
+    rng, rows = random.Random(4), []
+    for _ in range(25):
+        passage = [some_word(rng) for _ in range(60)]
+        rows += [" ".join(passage + [some_word(rng) for _ in range(140)]) for _ in range(2)]
+    for _ in range(5):
+        words = [some_word(rng) for _ in range(200)]
+        rows += [" ".join(words), " ".join(edited(rng, words, 2))]
+    n, lost = lost_pairs(spark, list(enumerate(rows)))
+    pairs = sum(df.count() for path, df in written if "/pairs-" in path)
+    verified = sum(df.count() for path, df in written if "-checked-" in path)
+    assert n >= 5 and not lost and pairs >= 25 and 5 <= verified <= 10
+
+
+def test_dedup_moves_no_texts_to_pick_rows(spark, docs):
+    ids = spark.range(100_000).repartition(3).select(F.monotonically_increasing_id().alias("id")).withColumn("row", F.struct(F.col("id").alias("x")))
+    some = ids.select("id").filter("xxhash64(id) % 3 = 0")
+    assert sorted(r.id for r in simhash._with_ids(ids, some).select("id").collect()) == sorted(r.id for r in some.collect())
+    assert simhash._with_ids(ids, some.limit(0)).count() == 0
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_dedup_and_mix_leave_only_what_their_results_read(spark, docs):
     folder = shared_dir(spark).removeprefix("file://") + "/tessera"
     held = lambda: set(os.listdir(folder)) if os.path.exists(folder) else set()
